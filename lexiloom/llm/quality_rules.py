@@ -3,7 +3,8 @@
 Every document gets one vote of each rule: 1 (good), -1 (bad) or 0 (the rule abstains).
 Given the unknown quality, votes are taken as independent. Vote patterns are counted in
 one aggregation (at most 3 to the power of the number of rules, whatever the corpus), and
-the rules' vote rates for good and bad documents are estimated on that table. A document
+the rules' vote rates for good and bad documents are estimated on that table, abstentions
+included, from a first guess that believes every fault. A document
 is kept if its posterior probability of being good is at least ``threshold``. No Python
 touches a row: all is DataFrame expressions; the driver sees one row of sums a round.
 """
@@ -20,10 +21,12 @@ from .textstats import base_statistics
 
 MIN_WORDS = 50
 ROUNDS = 20
-#: Rates to start from: P(vote -1, 0, 1) for good and for bad documents. A rule that fires is a strong sign, a praising vote a weak one.
-START = ([0.02, 0.38, 0.6], [0.3, 0.3, 0.4])
+#: The first posterior: of a document that some rule faults, and of one that none does.
+FAULTED, UNFAULTED = 0.05, 0.95
+#: One imagined document of each class, spread over the votes -1, 0 and 1, keeps rates from 0.
+IMAGINED = {"g": (0.02, 0.49, 0.49), "b": (0.3, 0.35, 0.35)}
 #: Good documents are faulted by a rule at most so often; this keeps the two classes from changing places.
-WRONG_AT_MOST = 0.1
+WRONG_AT_MOST = 0.05
 LEAST = 0.005
 SETTLED = 1e-4
 
@@ -38,6 +41,8 @@ def rules() -> dict[str, Column]:
     n, chars, c = F.col("n_words"), F.col("word_chars"), F.col
     return {
         "symbols": _vote(10 * c("n_symbols") > n, 100 * c("n_symbols") <= n),
+        "symbol_share": _vote(20 * c("n_symbols") > chars),
+        "punctuation": _vote(8 * c("n_punctuation") > chars),
         "capitals": _vote(10 * c("n_upper") > 3 * chars),
         "shouting": _vote(5 * c("n_bang") > n),
         "repeated_lines": _vote((c("n_dup_lines") >= 2) & (10 * c("n_dup_lines") > 3 * c("n_lines"))),
@@ -48,38 +53,39 @@ def rules() -> dict[str, Column]:
     }
 
 
-def _log_odds(model: dict) -> Column:
+def _posterior(model: dict | None, names: list[str]) -> Column:
+    if model is None:
+        return F.when(F.least(*names) < 0, F.lit(FAULTED)).otherwise(F.lit(UNFAULTED))
     odds = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for name, (good, bad) in model["rates"].items():
-        odds = odds + F.element_at(F.array(*[F.lit(math.log(g / b)) for g, b in zip(good, bad)]), F.col(name) + 2)
-    return odds
+    for name in names:
+        odds = odds + F.element_at(F.array(*[F.lit(math.log(g / b)) for g, b in zip(*model["rates"][name])]), F.col(name) + 2)
+    return 1 / (1 + F.exp(-odds))
 
 
-def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict:
+def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict | None:
     """Vote rates by expectation-maximisation. ``patterns``: a column for each rule, and n.
 
-    rates[name] holds P(vote -1, 0, 1) for good and for bad documents. The first posterior
-    leans on the votes' sum. Without documents the start values stay.
+    rates[name] holds P(vote -1, 0, 1) for good and for bad documents. None without documents.
     """
-    model = {"prior": 0.5, "rates": dict.fromkeys(names, START)}
+    model = None
     for _ in range(rounds):
-        p = 1 / (1 + F.exp(-_log_odds(model)))
+        p = _posterior(model, names)
         rows = patterns.select("*", (F.col("n") * p).alias("g"), (F.col("n") * (1 - p)).alias("b"))
         sums = rows.agg(
             F.sum("g").alias("g"), F.sum("b").alias("b"),
             *[F.sum(F.when(F.col(r) == v, F.col(y)).otherwise(0.0)).alias(f"{r}|{v}|{y}") for r in names for v in (-1, 0, 1) for y in "gb"],
         ).first()
-        if not sums["g"] and not sums["b"]:
+        if sums["g"] is None:
             break
 
         def rate(r, y):
-            x = [max(LEAST, (sums[f"{r}|{v}|{y}"] + START["gb".index(y)][v + 1]) / (sums[y] + 1)) for v in (-1, 0, 1)]
+            x = [max(LEAST, (sums[f"{r}|{v}|{y}"] + IMAGINED[y][v + 1]) / (sums[y] + 1)) for v in (-1, 0, 1)]
             if y == "g":
                 x[0] = min(x[0], WRONG_AT_MOST)
             return [v / sum(x) for v in x]
 
         new = {"prior": min(0.98, max(0.02, sums["g"] / (sums["g"] + sums["b"]))), "rates": {r: (rate(r, "g"), rate(r, "b")) for r in names}}
-        moved = max(abs(p - q) for r in names for a, b in zip(new["rates"][r], model["rates"][r]) for p, q in zip(a, b))
+        moved = max(abs(p - q) for r in names for a, b in zip(new["rates"][r], model["rates"][r]) for p, q in zip(a, b)) if model else 1.0
         model = new
         if moved < SETTLED:
             break
@@ -99,5 +105,5 @@ def assess(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     model = fit(patterns, names)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     plain = voted.select(*stats.columns, *[F.col(f"vote_{r}").alias(r) for r in names])
-    judged = plain.select("*", failed.alias("base_failed"), (1 / (1 + F.exp(-_log_odds(model)))).alias("p_good"))
+    judged = plain.select("*", failed.alias("base_failed"), _posterior(model, names).alias("p_good"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))

@@ -9,6 +9,7 @@ from .common import text_of
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -54,7 +55,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def base_statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns and: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_distinct, n_upper, n_bang, n_stops."""
+    """``keep`` columns and: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_distinct, n_upper, n_bang, n_stops, n_punctuation."""
     t = F.col("_text")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
     d = docs.select(*keep, text_of().alias("_text")).select("*", words_of(t).alias("_words"), lines.alias("_lines"))
@@ -71,5 +72,6 @@ def base_statistics(docs: DataFrame, *keep: str) -> DataFrame:
         count_of(t, UPPER).alias("n_upper"),
         count_of(t, "!").alias("n_bang"),
         count_of(t, ".?").alias("n_stops"),
+        count_of(t, PUNCTUATION).alias("n_punctuation"),
     )
     return out.select(*keep, *[F.col(c).cast("long").alias(c) for c in out.columns if c not in keep])
