@@ -165,3 +165,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     model = train(docs, labels, sample)
     scored = features(docs, "doc_id").select("doc_id", F.coalesce(~training_rows(), F.lit(False)).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The documents with predicted quality 1, all columns as they were."""
+    model = train(docs, labels, sample)
+    row = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return features(row, "_row").where(model.score() >= THRESHOLD).select("_row.*")
