@@ -70,10 +70,10 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict | N
     model = None
     for _ in range(rounds):
         p = _posterior(model, names)
-        rows = patterns.select("*", (F.col("n") * p).alias("g"), (F.col("n") * (1 - p)).alias("b"))
+        rows = patterns.select("*", (F.col("n") * p).alias("_g"), (F.col("n") * (1 - p)).alias("_b"))
         sums = rows.agg(
-            F.sum("g").alias("g"), F.sum("b").alias("b"),
-            *[F.sum(F.when(F.col(r) == v, F.col(y)).otherwise(0.0)).alias(f"{r}|{v}|{y}") for r in names for v in (-1, 0, 1) for y in "gb"],
+            F.sum("_g").alias("g"), F.sum("_b").alias("b"),
+            *[F.sum(F.when(F.col(r) == v, F.col(f"_{y}")).otherwise(0.0)).alias(f"{r}|{v}|{y}") for r in names for v in (-1, 0, 1) for y in "gb"],
         ).first()
         if sums["g"] is None:
             break
