@@ -20,7 +20,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise
@@ -29,8 +29,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 LINE_WORDS, PASSAGE_WORDS, ANCHOR = 20, 20, 4
 #: Six bands of three rows find a pair at similarity 0.8 with probability 0.986, at 0.9 with 0.9996.
 BANDS, ROWS = 6, 3
-#: In a bucket of at most so many classes, those unlike its pivot are compared with all others of the bucket; in larger ones, with those that share a second band.
-BUCKET = 64
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _PLACED = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -137,33 +135,46 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInPandas(run, "h long, shingles array<long>").dropDuplicates(["h"])
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the column ``similar``: their Jaccard similarity is SIMILARITY or more."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with na, nb, the sizes of their sets, and delta, what only one of them has."""
     j = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return j.select("a", "b", (both >= SIMILARITY * (F.size("sa") + F.size("sb") - both)).alias("similar"))
+    return j.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("delta"))
+
+
+def _similar() -> Column:
+    """Whether the Jaccard similarity of a compared pair is SIMILARITY or more."""
+    both = (F.col("na") + F.col("nb") - F.size("delta")) / 2
+    return both >= SIMILARITY * (both + F.size("delta"))
 
 
 def similar_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (a, b) between classes of lines (h, n, doc_id, start, words, bands).
 
     In every bucket the class with most copies is the pivot, and all others are compared
-    with it. Those unlike it are then compared with the others of the bucket, so buckets
-    full of variants of one text cost a comparison each and still lose no other link.
+    with it. That leaves the links of those unlike their pivot. Let D(x) be what only one
+    of x and the pivot has. If c is unlike the pivot and like some a, D(a) and D(c) have
+    much in common: with k = (1 - s) / (1 + s) for the similarity s, |D(c)| > k (|c| + |p|)
+    and |D(a) - D(c)| + |D(c) - D(a)| <= k (|a| + |c|), so at least half of
+    |D(c)| - k (|c| + |p|) + (1 - k) |D(a)|. Such pairs are found by the prefixes of D(c)
+    and D(a), rarest shingles first, that two sets with so much in common must share. A
+    bucket of variants of one text so costs little more than a comparison each, and no
+    pair that banding has brought together loses its link.
     """
     filed = classes.select("h", "n", F.explode("bands").alias("key"))
-    pivots = filed.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("n", "h")).alias("p")).where("m > 1").select("key", "m", F.col("p.h").alias("pivot"))
-    met = materialise(filed.join(pivots, "key").select("key", "m", "pivot", "h"), "buckets")
+    pivots = filed.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("n", "h")).alias("p")).where("m > 1").select("key", F.col("p.h").alias("pivot"))
+    met = materialise(filed.join(pivots, "key").select("pivot", "h").distinct(), "buckets")
     sets = materialise(_shingle_sets(docs, classes.join(met.select("h").distinct(), "h", "left_semi").select("h", "doc_id", "start", "words")), "shingles")
-    star = materialise(_similar(met.where("h <> pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b")).distinct(), sets), "stars")
-    apart = met.join(star.where("not similar").select(F.col("a").alias("h"), F.col("b").alias("pivot")), ["h", "pivot"], "left_semi")
-    few = F.col("m") <= BUCKET
-    others = met.where("h <> pivot")
-    close = apart.where(few).select("key", F.col("h").alias("a")).join(others.where(few).select("key", F.col("h").alias("b")), "key")
-    second = lambda side, name: side.where(~few).select("key", F.col("h").alias(name)).join(filed.select(F.col("h").alias(name), F.col("key").alias("key2")), name).where("key <> key2")
-    far = second(apart, "a").join(second(others, "b"), ["key", "key2"]).select("key", "a", "b")
-    rest = close.unionByName(far).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return star.where("similar").select("a", "b").union(_similar(rest, sets).where("similar").select("a", "b"))
+    star = materialise(_compared(met.where("h <> pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b")), sets).withColumn("similar", _similar()), "stars")
+    split = star.where("not similar").select("b").distinct()
+    parts = star.join(split, "b", "left_semi").select("b", "a", "similar", "na", "nb", F.size("delta").alias("n"), F.explode("delta").alias("e"))
+    placed = parts.withColumn("df", F.count("*").over(Window.partitionBy("b", "e"))).withColumn("r", F.row_number().over(Window.partitionBy("b", "a").orderBy("df", "e")))
+    k, n = (1 - SIMILARITY) / (1 + SIMILARITY), F.col("n")
+    asked = F.greatest(F.lit(1), F.ceil((n - k * (F.col("na") + F.col("nb")) + (1 - k)) / 2 - 1e-9))
+    given = F.floor((1 - k) * n / 2 - 1e-9) + 1
+    asks = placed.where(~F.col("similar") & (F.col("r") <= n - asked + 1)).select("b", "e", F.col("a").alias("x"))
+    answers = placed.where(F.col("r") <= n - given + 1).select("b", "e", F.col("a").alias("y"))
+    rest = asks.join(answers, ["b", "e"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return star.where("similar").select("a", "b").union(_compared(rest, sets).where(_similar()).select("a", "b"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -243,6 +254,7 @@ def _apply_cuts(joined: DataFrame, docs: DataFrame) -> DataFrame:
     def shorter(text: pd.Series, cut: pd.Series) -> pd.Series:
         return pd.Series([t if c is None or t is None else without(t, [(x["start"], x["words"]) for x in c]) for t, c in zip(text, cut)], dtype=object)
 
+    shorter = shorter.asNondeterministic()  # else the filter below would run it a second time
     new = joined.withColumn("_text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(shorter("text", "_cut")))
     new = new.where(F.col("_cut").isNull() | F.col("_text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
     values = {"text": F.col("_text"), "n_chars": F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_text")) if "n_chars" in columns else None}

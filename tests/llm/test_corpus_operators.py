@@ -389,9 +389,7 @@ def test_substring_dedup_cuts_and_keeps(spark):
     assert substring_dedup.deduplicate(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [64, 2])
-def test_similar_lines_equal_brute_force_components(spark, bucket, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "BUCKET", bucket)
+def test_similar_lines_equal_brute_force_components(spark):
     rng = random.Random(1)
     base = words(rng, 120, 5000)
     texts = []
