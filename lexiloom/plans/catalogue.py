@@ -45,45 +45,46 @@ def six(c: str | Column) -> Column:
 SETTINGS = Retrieval()
 MATCH_SET = lexical.prose_words_sql("coalesce(text, '')")
 LIB = f"""
-w as (select doc_id as decl_id, unnest(list_distinct({MATCH_SET})) as token from documents),
-mo as (select doc_id as decl_id, lower(source) as token from documents where source is not null),
-ty as (select doc_id as decl_id, lower(lang) as token from documents where lang is not null),
-posted as (select 'name' as field, token, decl_id from w union all select 'mod', token, decl_id from (select decl_id, token from mo except select decl_id, token from w)
+w as materialized (select doc_id as decl_id, unnest(list_distinct({MATCH_SET})) as token from documents),
+mo as materialized (select doc_id as decl_id, lower(source) as token from documents where source is not null),
+ty as materialized (select doc_id as decl_id, lower(lang) as token from documents where lang is not null),
+posted as materialized (select 'name' as field, token, decl_id from w union all select 'mod', token, decl_id from (select decl_id, token from mo except select decl_id, token from w)
   union all select 'typ', token, decl_id from (select decl_id, token from ty except select decl_id, token from w)),
-n as (select count(*) as n, greatest(floor(count(*) * {SETTINGS.max_df_share}), {SETTINGS.max_df_least}) as max_df from documents),
-df as (select token, count(distinct decl_id) as df from (select * from w union all select * from mo union all select * from ty) group by token),
-idf as (select token, df, ln(1 + n / (1 + df)) as idf from df, n),
-sizes as (select token, count(*) filter (where field = 'name') as n_name, count(*) filter (where field = 'mod') as n_mod, count(*) filter (where field = 'typ') as n_typ from posted group by token),
-admitted as (select i.token, i.idf, s.n_name, s.n_mod, s.n_typ, n.max_df from idf i join sizes s using (token), n where s.n_name <= n.max_df or s.n_mod > 0 or s.n_typ > 0),
-lens as (select d.doc_id as decl_id, case when coalesce(sum(i.idf), 0) = 0 then 1.0 else sum(i.idf) end as len from documents d left join w on w.decl_id = d.doc_id left join idf i on i.token = w.token group by d.doc_id),
-norms as (select decl_id, len, {1 - SETTINGS.length_pivot} + {SETTINGS.length_pivot} * len / (select avg(len) from lens) as lennorm from lens)"""
+n as materialized (select count(*) as n, greatest(floor(count(*) * {SETTINGS.max_df_share}), {SETTINGS.max_df_least}) as max_df from documents),
+df as materialized (select token, count(distinct decl_id) as df from (select * from w union all select * from mo union all select * from ty) group by token),
+idf as materialized (select token, df, ln(1 + n / (1 + df)) as idf from df, n),
+sizes as materialized (select token, count(*) filter (where field = 'name') as n_name, count(*) filter (where field = 'mod') as n_mod, count(*) filter (where field = 'typ') as n_typ from posted group by token),
+admitted as materialized (select i.token, i.idf, s.n_name, s.n_mod, s.n_typ, n.max_df from idf i join sizes s using (token), n where s.n_name <= n.max_df or s.n_mod > 0 or s.n_typ > 0),
+lens as materialized (select d.doc_id as decl_id, case when coalesce(sum(i.idf), 0) = 0 then 1.0 else sum(i.idf) end as len from documents d left join w on w.decl_id = d.doc_id left join idf i on i.token = w.token group by d.doc_id),
+norms as materialized (select decl_id, len, {1 - SETTINGS.length_pivot} + {SETTINGS.length_pivot} * len / (select avg(len) from lens) as lennorm from lens)"""
 PMI = f"""
-pt as (select decl_id, token from mo union select decl_id, token from ty),
-cw as (select token as word, count(*) as cw from w group by 1), ct as (select token, count(*) as ct from pt group by 1),
-tot as (select sum(a.k * b.k) as total from (select decl_id, count(*) as k from w group by 1) a join (select decl_id, count(*) as k from pt group by 1) b using (decl_id)),
-pc as (select w.token as word, pt.token, count(*) as c from w join pt using (decl_id) group by 1, 2),
+pt as materialized (select decl_id, token from mo union select decl_id, token from ty),
+cw as materialized (select token as word, count(*) as cw from w group by 1), ct as materialized (select token, count(*) as ct from pt group by 1),
+tot as materialized (select sum(a.k * b.k) as total from (select decl_id, count(*) as k from w group by 1) a join (select decl_id, count(*) as k from pt group by 1) b using (decl_id)),
+pc as materialized (select w.token as word, pt.token, count(*) as c from w join pt using (decl_id) group by 1, 2),
 pm as (select word, token, ln(c * total / (cw * ct) + 1e-12) as pmi, c from pc join cw using (word) join ct using (token), tot where c >= 5 and cw >= 4 and ct >= 4),
 pr as (select word, token, pmi * c / (c + 25.0) as raw from pm where pmi > 0),
 pk as (select word, token, raw, row_number() over (partition by word order by round(raw, 9) desc, token) as rk from pr),
-trans as (select word, token, raw / max(raw) over (partition by word) as weight, rk from pk where rk <= 12)"""
+trans as materialized (select word, token, raw / max(raw) over (partition by word) as weight, rk from pk where rk <= 12)"""
 ASKED = f"""
-qw as (select distinct item_id as query_id, unnest({MATCH_SET}) as word from benchmark),
-own as (select q.query_id, q.word, i.idf as src from qw q left join idf i on i.token = q.word),
+adm as materialized (select *, {lexical.stem_sql("token")} as st, left(token, 4) as pre from admitted),
+qw as materialized (select distinct item_id as query_id, unnest({MATCH_SET}) as word from benchmark),
+own as materialized (select q.query_id, q.word, i.idf as src from qw q left join idf i on i.token = q.word),
 hops as (
   select query_id, word as token, 1.0 as w, cast(null as double) as src, 'literal' as hop from own
-  union all select query_id, a.token, {SETTINGS.stem_weight}, src, 'stem' from own join admitted a on {lexical.stem_sql("a.token")} = own.word
-  union all select query_id, a.token, {SETTINGS.prefix_weight}, src, 'prefix' from own join admitted a on left(a.token, 4) = left(own.word, 4)
+  union all select query_id, a.token, {SETTINGS.stem_weight}, src, 'stem' from own join adm a on a.st = own.word
+  union all select query_id, a.token, {SETTINGS.prefix_weight}, src, 'prefix' from own join adm a on a.pre = left(own.word, 4)
     where length(own.word) >= 5 and length(a.token) between 4 and 9 and a.token <> own.word and (starts_with(own.word, a.token) or starts_with(a.token, left(own.word, 5)))
   union all select query_id, t.token, {SETTINGS.expansion_weight} * t.weight, src, 'translation' from own join trans t using (word) where t.rk <= {SETTINGS.expansions}),
-expanded as (select query_id, token, hop, w * case when a.idf > src then src / a.idf else 1.0 end as weight from hops join admitted a using (token)),
-weights as (select query_id, token, max(weight) as weight from expanded group by 1, 2)"""
+expanded as materialized (select query_id, token, hop, w * case when a.idf > src then src / a.idf else 1.0 end as weight from hops join admitted a using (token)),
+weights as materialized (select query_id, token, max(weight) as weight from expanded group by 1, 2)"""
 SCORED = f"""
-used as (select query_id, token, weight * idf as worth, n_name > 0 as a, n_mod > 0 and n_mod <= {SETTINGS.field_cap} * max_df as b, n_typ > 0 and n_typ <= {SETTINGS.field_cap} * max_df as c from weights join admitted using (token)),
-mass as (select query_id, sum(worth * greatest(case when a then 1.0 else 0 end, case when b then {SETTINGS.module_weight} else 0 end, case when c then {SETTINGS.type_weight} else 0 end)) as mass from used group by 1),
-raws as (select query_id, decl_id, sum(worth * case field when 'name' then 1.0 when 'mod' then {SETTINGS.module_weight} else {SETTINGS.type_weight} end) as raw
+used as materialized (select query_id, token, weight * idf as worth, n_name > 0 as a, n_mod > 0 and n_mod <= {SETTINGS.field_cap} * max_df as b, n_typ > 0 and n_typ <= {SETTINGS.field_cap} * max_df as c from weights join admitted using (token)),
+mass as materialized (select query_id, sum(worth * greatest(case when a then 1.0 else 0 end, case when b then {SETTINGS.module_weight} else 0 end, case when c then {SETTINGS.type_weight} else 0 end)) as mass from used group by 1),
+raws as materialized (select query_id, decl_id, sum(worth * case field when 'name' then 1.0 when 'mod' then {SETTINGS.module_weight} else {SETTINGS.type_weight} end) as raw
   from used join posted using (token) where (field = 'name' and a) or (field = 'mod' and b) or (field = 'typ' and c) group by 1, 2),
-scored as (select query_id, decl_id, raw, raw / lennorm as score, mass from raws join norms using (decl_id) join mass using (query_id) where mass > 0),
-ranked as (select *, row_number() over (partition by query_id order by round(score, 9) desc, decl_id) as rk from scored)"""
+scored as materialized (select query_id, decl_id, raw, raw / lennorm as score, mass from raws join norms using (decl_id) join mass using (query_id) where mass > 0),
+ranked as materialized (select *, row_number() over (partition by query_id order by round(score, 9) desc, decl_id) as rk from scored)"""
 
 
 def library(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +205,7 @@ def query_weights(spark, d):
     return retrieve.query_weights(asked(spark, d), lexicon_of(spark, d)).select("query_id", "token", six("weight").alias("weight"))
 
 
-@query(f"with {LIB} select distinct q.query_id, i.token from (select item_id as query_id, unnest({MATCH_SET}) as word from benchmark) q join idf i on i.token = q.word or {lexical.stem_sql('i.token')} = q.word")
+@query(f"with {LIB} select distinct q.query_id, i.token from (select item_id as query_id, unnest({MATCH_SET}) as word from benchmark) q join (select token, token as word from idf union select token, {lexical.stem_sql('token')} from idf) i using (word)")
 def direct_tokens(spark, d):
     return retrieve.direct_tokens(asked(spark, d), lexicon_of(spark, d))
 
