@@ -49,7 +49,7 @@ def _quoted(words) -> str:
 
 
 def stem_sql(word: str) -> str:
-    """SQL for the stem of ``word``, a lower-case expression; the same text runs in Spark and in DuckDB.
+    """DuckDB SQL for :func:`stem` of ``word``, a lower-case expression.
 
     An ending is replaced only if four characters are left; else the next one is tried.
     """

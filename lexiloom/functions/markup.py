@@ -45,7 +45,7 @@ def prose(text: Column) -> Column:
 def names_in(text: Column, macro: str) -> Column:
     """Sorted distinct names in a macro's comma-separated arguments, none empty."""
     parts = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(macro), 1), lambda g: F.split(g, ",")))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, F.trim), lambda n: n != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda n: F.trim(n)), lambda n: n != "")))
 
 
 # The concepts of commands and of signs, commands that only set type, prefixes of fonts.

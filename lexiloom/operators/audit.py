@@ -33,8 +33,8 @@ def verify(proposals: DataFrame, lexicon: Lexicon, c: Verification = Verificatio
     ids = lexicon.rows.groupBy("name").agg(F.max("decl_id").alias("decl_id"))
     placed = p.select("query_id", "proposal").distinct().join(ids.withColumnRenamed("name", "proposal"), "proposal", "left")
     queries = p.select("query_id", "text", "title").dropDuplicates(["query_id"])
-    weights = query_weights(queries, lexicon, r)
-    rivals = ranked(scores(weights, lexicon, r), c.rivals).select("query_id", "decl_id", "rk")
+    weights = query_weights(queries, lexicon, r).persist()  # read by scores and by support
+    rivals = ranked(scores(weights, lexicon, r), c.rivals).select("query_id", "decl_id", "rk").persist()
     found = support(placed.where("decl_id is not null").select("query_id", "decl_id").union(rivals.select("query_id", "decl_id")), weights, lexicon, c)
     own = placed.join(found, ["query_id", "decl_id"], "left")
     names = lexicon.rows.select("decl_id", "name")

@@ -83,9 +83,9 @@ def zero_false_sweep(records: DataFrame) -> DataFrame:
     cuts = cuts.select("tau", F.explode(F.array_distinct(F.array("delta", "most"))).alias("delta"))
     on = (F.col("coverage") >= F.col("tau")) & (F.col("margin") >= F.col("delta"))
     pos = F.col("kind") == "pos"
-    counted = cuts.join(records, on, "left").groupBy("tau", "delta").agg(F.count_if(pos).alias("answered"), F.count_if(pos & (F.col("rank") == 1)).alias("correct"), F.count_if(F.col("kind") == "neg").alias("false"))
+    counted = cuts.join(records, on, "left").groupBy("tau", "delta").agg(F.count_if(pos).alias("answered"), F.count_if(pos & (F.col("rank") == 1)).alias("correct"), F.count_if(F.col("kind") == "neg").alias("admitted"))
     sizes = records.agg(F.count_if(pos).alias("n_pos"), F.count_if(~pos).alias("n_neg"))
-    return counted.where("false = 0").orderBy(F.desc("answered"), F.desc("correct"), "tau", "delta").limit(1).drop("false").crossJoin(F.broadcast(sizes))
+    return counted.where("admitted = 0").orderBy(F.desc("answered"), F.desc("correct"), "tau", "delta").limit(1).drop("admitted").crossJoin(F.broadcast(sizes))
 
 
 def combined_sweep(records: DataFrame) -> DataFrame:

@@ -213,7 +213,7 @@ def direct_tokens(spark, d):
 @query(f"with {LIB}, {PMI}, {ASKED}, {SCORED} select query_id, decl_id, rk, round(score, 6) as score from ranked where rk <= 10")
 def sparse_score_topk(spark, d):
     lex = lexicon_of(spark, d)
-    top = retrieve.ranked(retrieve.scores(retrieve.query_weights(asked(spark, d), lex), lex), 10)
+    top = retrieve.ranked(retrieve.scores(retrieve.query_weights(asked(spark, d), lex).persist(), lex), 10)
     return top.select("query_id", "decl_id", "rk", six("score").alias("score"))
 
 
@@ -259,7 +259,7 @@ def proposals(spark: SparkSession, d: str) -> DataFrame:
 def support_evidence(spark, d):
     lex = lexicon_of(spark, d)
     pairs = asked(spark, d).select("query_id", (F.col("query_id") * 7).alias("decl_id"))
-    return audit.support(pairs, retrieve.query_weights(asked(spark, d), lex), lex).select("query_id", "decl_id", six("evidence").alias("evidence"))
+    return audit.support(pairs, retrieve.query_weights(asked(spark, d), lex).persist(), lex).select("query_id", "decl_id", six("evidence").alias("evidence"))
 
 
 @query(
@@ -311,7 +311,7 @@ def dominating_thresholds(spark, d):
 # --- structure: the tags of a page are its features, the first page of a host the document
 
 PAGES = "p as (select page_id, regexp_extract(url, '//([^/]+)', 1) as host, list_distinct(regexp_extract_all(html, '<([a-z0-9]+)', 1)) as tags, list_distinct(regexp_extract_all(html, '&[a-z]+;')) as marks from pages)"
-FEATURES = "f as (select page_id, 'app:' || unnest(tags) as feature from p union select page_id, 'rel:' || unnest(marks) from p), fw as (select feature, ln(1 + (select count(*) from pages) / (1 + count(*))) as idf from f group by 1), fm as (select max(idf) as top from (select idf from fw union all select ln(1 + count(*)) from pages))"
+FEATURES = "f as (select page_id, 'app:' || unnest(tags) as feature from p union select page_id, 'rel:' || unnest(marks) from p), fw as (select feature, ln(1 + (select count(*) from pages) / (1 + count(*))) as idf from f group by 1), fm as (select max(idf) as top from fw)"
 
 
 def page_features(spark: SparkSession, d: str) -> DataFrame:
@@ -349,7 +349,7 @@ k as (select query_id, decl_id, final, row_number() over (partition by query_id
 select query_id, decl_id, round(final, 6) as final, rk from k where rk <= 5""")
 def gated_rerank(spark, d):
     lex = lexicon_of(spark, d)
-    top = retrieve.ranked(retrieve.scores(retrieve.query_weights(asked(spark, d), lex), lex), 50)
+    top = retrieve.ranked(retrieve.scores(retrieve.query_weights(asked(spark, d), lex).persist(), lex), 50).persist()
     overlaps = top.select("query_id", "decl_id", ((F.col("decl_id") * 31 + F.col("query_id")) % 100 / 100.0).alias("overlap"))
     return structure.rerank(top, overlaps, Reranking(depth=50)).select("query_id", "decl_id", six("final").alias("final"), "rk")
 
@@ -358,7 +358,7 @@ FORMULAS = [(1, ["d[X;Y] \\leq \\bbH[X+Y]"]), (2, ["\\sum_{i} a_i = \\log(b)", "
 STATEMENTS = [(1, "theorem foo (h : d[X # Y] = 0) : d[X;Y] ≤ H[X + Y] := by simp"), (2, "def bar : Nat := 1"), (3, "theorem baz {α : Type} : ∑ i, f i = log b")]
 
 
-@query("select * from (values (1, 'app:d app:h bi:le|d bi:le|h op:add rel:le'), (2, 'op:log op:sum rel:eq rel:mem'), (3, ''), (4, 'app:h bi:lt|h op:add rel:lt')) t(id, features)")
+@query("select * from (values (1, 'app:d app:h bi:le|d bi:le|h op:add rel:le'), (2, 'op:log rel:eq rel:mem'), (3, ''), (4, 'app:h bi:lt|h op:add rel:lt')) t(id, features)")
 def skeleton_features(spark, d):
     return spark.createDataFrame(FORMULAS, "id int, math array<string>").select("id", F.array_join(formula.latex_skeleton_features("math"), " ").alias("features"))
 
@@ -440,7 +440,7 @@ def twin_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TWIN_ROWS, DECLARATION)
 
 
-@query("select * from (values ('add_comm', 'to_additive:inferred:unvalidated', '', 'add comm add'), ('AddSubmonoid.FG.prod', 'to_additive:explicit:unvalidated', '', 'sum'), ('AddMonoid.foo', 'to_additive:inferred:unvalidated', '', 'foo add monoid')) t(name, provenance, head, typ)")
+@query("select * from (values ('add_comm', 'to_additive:inferred:unvalidated', '', 'add comm comm add monoid add'), ('AddSubmonoid.FG.prod', 'to_additive:explicit:unvalidated', '', 'sum'), ('AddMonoid.foo', 'to_additive:inferred:unvalidated', '', 'foo add monoid')) t(name, provenance, head, typ)")
 def additive_twins(spark, d):
     out, _ = twins.expand(twin_rows(spark))
     return out.where(F.startswith("provenance", F.lit("to_additive"))).select("name", "provenance", "head", F.array_join("typ_tokens", " ").alias("typ"))
