@@ -58,7 +58,7 @@ admitted as materialized (select i.token, i.idf, s.n_name, s.n_mod, s.n_typ, n.m
 lens as materialized (select d.doc_id as decl_id, case when coalesce(sum(i.idf), 0) = 0 then 1.0 else sum(i.idf) end as len from documents d left join w on w.decl_id = d.doc_id left join idf i on i.token = w.token group by d.doc_id),
 norms as materialized (select decl_id, len, {1 - SETTINGS.length_pivot} + {SETTINGS.length_pivot} * len / (select avg(len) from lens) as lennorm from lens)"""
 PMI = f"""
-pt as materialized (select decl_id, token from mo union select decl_id, token from ty),
+pt as materialized (select decl_id, token from (select * from mo union select * from ty) where decl_id in (select decl_id from w)),
 cw as materialized (select token as word, count(*) as cw from w group by 1), ct as materialized (select token, count(*) as ct from pt group by 1),
 tot as materialized (select sum(a.k * b.k) as total from (select decl_id, count(*) as k from w group by 1) a join (select decl_id, count(*) as k from pt group by 1) b using (decl_id)),
 pc as materialized (select w.token as word, pt.token, count(*) as c from w join pt using (decl_id) group by 1, 2),
