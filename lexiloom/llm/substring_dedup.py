@@ -135,10 +135,14 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInPandas(run, "h long, shingles array<long>").dropDuplicates(["h"])
 
 
+def _sided(own: str, other: str, side: int) -> Column:
+    return F.transform(F.array_except(own, other), lambda x: F.struct(F.lit(side).alias("side"), x.alias("e")))
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with na, nb, the sizes of their sets, and delta, what only one of them has."""
+    """``pairs`` (a, b) with na, nb, the sizes of their sets, and delta, what only one of them has: (0, x) for a, (1, x) for b."""
     j = pairs.join(sets.select(F.col("h").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("shingles").alias("sb")), "b")
-    return j.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("delta"))
+    return j.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.concat(_sided("sa", "sb", 0), _sided("sb", "sa", 1)).alias("delta"))
 
 
 def _similar() -> Column:
@@ -156,9 +160,11 @@ def similar_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     much in common: with k = (1 - s) / (1 + s) for the similarity s, |D(c)| > k (|c| + |p|)
     and |D(a) - D(c)| + |D(c) - D(a)| <= k (|a| + |c|), so at least half of
     |D(c)| - k (|c| + |p|) + (1 - k) |D(a)|. Such pairs are found by the prefixes of D(c)
-    and D(a), rarest shingles first, that two sets with so much in common must share. A
-    bucket of variants of one text so costs little more than a comparison each, and no
-    pair that banding has brought together loses its link.
+    and D(a) that two sets with so much in common must share, in the order: what the pivot
+    lacks, rarest first, then what only the pivot has. A match on the latter counts only
+    if what a has lost could be all of that half. So neither variants of one text nor
+    texts without anything in common are paired up, and no pair that banding has brought
+    together loses its link.
     """
     filed = classes.select("h", "n", F.explode("bands").alias("key"))
     pivots = filed.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("n", "h")).alias("p")).where("m > 1").select("key", F.col("p.h").alias("pivot"))
@@ -166,14 +172,17 @@ def similar_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sets = materialise(_shingle_sets(docs, classes.join(met.select("h").distinct(), "h", "left_semi").select("h", "doc_id", "start", "words")), "shingles")
     star = materialise(_compared(met.where("h <> pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b")), sets).withColumn("similar", _similar()), "stars")
     split = star.where("not similar").select("b").distinct()
-    parts = star.join(split, "b", "left_semi").select("b", "a", "similar", "na", "nb", F.size("delta").alias("n"), F.explode("delta").alias("e"))
-    placed = parts.withColumn("df", F.count("*").over(Window.partitionBy("b", "e"))).withColumn("r", F.row_number().over(Window.partitionBy("b", "a").orderBy("df", "e")))
+    lost = F.size(F.filter("delta", lambda x: x["side"] == 1))
+    parts = star.join(split, "b", "left_semi").select("b", "a", "similar", "na", "nb", F.size("delta").alias("n"), lost.alias("lost"), F.explode("delta").alias("d")).select("*", "d.side", "d.e").drop("d")
+    order = Window.partitionBy("b", "a").orderBy("side", "df", "e")
+    placed = parts.withColumn("df", F.count("*").over(Window.partitionBy("b", "e"))).withColumn("r", F.row_number().over(order))
     k, n = (1 - SIMILARITY) / (1 + SIMILARITY), F.col("n")
-    asked = F.greatest(F.lit(1), F.ceil((n - k * (F.col("na") + F.col("nb")) + (1 - k)) / 2 - 1e-9))
+    over = n - k * (F.col("na") + F.col("nb"))
+    asked = F.greatest(F.lit(1), F.ceil((over + (1 - k)) / 2 - 1e-9))
     given = F.floor((1 - k) * n / 2 - 1e-9) + 1
-    asks = placed.where(~F.col("similar") & (F.col("r") <= n - asked + 1)).select("b", "e", F.col("a").alias("x"))
-    answers = placed.where(F.col("r") <= n - given + 1).select("b", "e", F.col("a").alias("y"))
-    rest = asks.join(answers, ["b", "e"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    asks = placed.where(~F.col("similar") & (F.col("r") <= n - asked + 1)).select("b", "e", "side", F.col("a").alias("x"), over.alias("over"))
+    answers = placed.where(F.col("r") <= n - given + 1).select("b", "e", F.col("a").alias("y"), (2 * F.col("lost") - (1 - k) * n + 1e-9).alias("room"))
+    rest = asks.join(answers, ["b", "e"]).where("x <> y and (side = 0 or over <= room)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return star.where("similar").select("a", "b").union(_compared(rest, sets).where(_similar()).select("a", "b"))
 
 
