@@ -175,7 +175,9 @@ def similar_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     lost = F.size(F.filter("delta", lambda x: x["side"] == 1))
     parts = star.join(split, "b", "left_semi").select("b", "a", "similar", "na", "nb", F.size("delta").alias("n"), lost.alias("lost"), F.explode("delta").alias("d")).select("*", "d.side", "d.e").drop("d")
     order = Window.partitionBy("b", "a").orderBy("side", "df", "e")
-    placed = parts.withColumn("df", F.count("*").over(Window.partitionBy("b", "e"))).withColumn("r", F.row_number().over(order))
+    # dealt by both columns: by the pivot alone, a frequent one would be a single task's work
+    counted = parts.repartition("b", "e").withColumn("df", F.count("*").over(Window.partitionBy("b", "e")))
+    placed = counted.repartition("b", "a").withColumn("r", F.row_number().over(order))
     k, n = (1 - SIMILARITY) / (1 + SIMILARITY), F.col("n")
     over = n - k * (F.col("na") + F.col("nb"))
     asked = F.greatest(F.lit(1), F.ceil((over + (1 - k)) / 2 - 1e-9))
