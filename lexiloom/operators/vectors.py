@@ -118,6 +118,13 @@ def vocabulary(bags: DataFrame, least: int = 1) -> DataFrame:
     return df.select("token", "df", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"), (F.row_number().over(Window.orderBy(F.desc("df"), "token")) - 1).alias("idx"))
 
 
+def frequencies(pairs: DataFrame, least: int = 3) -> tuple[int, dict[str, int], dict[str, int]]:
+    """The number of pairs (id, words, tokens), and how many of them hold each word (those of at least ``least``) and each token."""
+    held = lambda side: pairs.select(F.explode(F.array_distinct(side)).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    words, tokens = ({r["t"]: r["n"] for r in side.collect()} for side in (held("words").where(F.col("n") >= least), held("tokens")))
+    return pairs.count(), words, tokens
+
+
 @dataclass
 class DualEncoder:
     """Token vectors of both sides, with their inverse frequencies."""
@@ -179,21 +186,28 @@ def _bags(texts: list[list[str]], vocab: dict[str, int], idf: np.ndarray) -> tup
 def train(
     pairs: list[tuple[list[str], list[str]]], library: list[list[str]] | None = None, dim: int = 128, epochs: int = 6, batch: int = 256,
     rate: float = 0.05, temperature: float = 0.05, seed: int = 0, least: int = 3, resume: DualEncoder | None = None, log: Callable[[str], None] | None = None,
+    counted: tuple[int, dict[str, int], dict[str, int]] | None = None,
 ) -> DualEncoder:
     """A dual encoder from pairs of query words and document tokens, each other pair of a batch being a negative.
 
     Stochastic gradients need one place: this runs on the driver over pairs that the caller
     has bounded (:func:`training_pairs`). The loss is the cross-entropy of rows only; a last
-    incomplete batch is left out.
+    incomplete batch is left out. Vocabularies and inverse frequencies are those of
+    ``counted`` (:func:`frequencies` of all pairs, beyond the bound), else of ``pairs`` and
+    ``library``.
     """
     if resume:
         words, tokens, wi, ti = resume.words, resume.tokens, resume.word_idf, resume.token_idf
     else:
-        q, d = Counter(w for x, _ in pairs for w in set(x)), Counter(t for x in (library or [d for _, d in pairs]) for t in set(x))
+        n_q, n_d = len(pairs), len(library or pairs)
+        if counted:
+            (n_q, q, d), n_d = counted, counted[0]
+        else:
+            q, d = Counter(w for x, _ in pairs for w in set(x)), Counter(t for x in (library or [d for _, d in pairs]) for t in set(x))
         words = {w: i for i, (w, _) in enumerate(sorted(((w, n) for w, n in q.items() if n >= least), key=lambda x: (-x[1], x[0])))}
         tokens = {t: i for i, t in enumerate(sorted(d))}
-        wi = np.array([np.log(1 + max(1, len(pairs)) / (1 + q[w])) for w in words], np.float32)
-        ti = np.array([np.log(1 + max(1, len(library or pairs)) / (1 + d[t])) for t in tokens], np.float32)
+        wi = np.array([np.log(1 + max(1, n_q) / (1 + q[w])) for w in words], np.float32)
+        ti = np.array([np.log(1 + max(1, n_d) / (1 + d[t])) for t in tokens], np.float32)
     usable = [(x, y) for x, y in pairs if any(w in words for w in x) and any(t in tokens for t in y)]
     rng = np.random.default_rng(seed)
     a = resume.a.copy() if resume else (0.05 * rng.standard_normal((len(words), dim))).astype(np.float32)

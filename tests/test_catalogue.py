@@ -1,6 +1,8 @@
 """Every query with SQL against DuckDB on the smallest tables; invariants of scores and sweeps."""
 
+import math
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -64,3 +66,12 @@ def test_zero_false_sweep_admits_no_negative(spark):
     rows = [("pos", 0.9, 0.5, 1), ("pos", 0.8, 0.6, 2), ("pos", 0.3, 0.9, 1), ("neg", 0.85, 0.4, 0), ("neg", 0.2, 0.99, 0)]
     best = calibrate.zero_false_sweep(spark.createDataFrame(rows, "kind string, coverage double, margin double, rank int")).first()
     assert best["answered"] == 3 and best["tau"] == 0.3 and 0.4 < best["delta"] <= 0.5 or best["answered"] <= 3
+
+
+def test_encoder_counts_every_document(spark, tmp_path):
+    rows = [(i, f"alpha beta w{i % 40}", ("en", "de", None)[i % 3], f"s{i % 7}") for i in range(2300)] + [(2300 + i, "alpha gamma", "once", f"rare{i}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = Counter(t for _, _, lang, source in rows for t in {lang, source} - {None})
+    got = catalogue.QUERIES["encoder_train"](spark, str(tmp_path)).collect()
+    assert {r["token"]: r["idf"] for r in got} == pytest.approx({t: math.log(1 + len(rows) / (1 + n)) for t, n in df.items()}, abs=2e-6)
+    assert {r["dim"] for r in got} == {128}
