@@ -7,8 +7,9 @@ non-ASCII characters, A-Z in lower case:
   MinHash over five-word shingles, colliding ones are compared by exact Jaccard similarity
   of their shingle sets, and components of similar classes are copies of each other;
 - passages: PASSAGE_WORDS words from each anchor on, anchors being the places where a hash of two
-  words is smallest among its neighbours. They find a passage wherever it stands in a
-  line, and are banded by one key, their whole word sequence.
+  words is smallest in a window of ANCHOR places (winnowing). They find every passage of
+  ANCHOR + PASSAGE_WORDS - 1 words or more wherever it stands in a line, periodic ones
+  too, and are banded by one key, their whole word sequence.
 
 A paragraph found in several documents stays in the one with the smallest id.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
-LINE_WORDS, PASSAGE_WORDS, ANCHOR = 20, 20, 4
+LINE_WORDS, PASSAGE_WORDS, ANCHOR = 20, 20, 17
 #: Six bands of three rows find a pair at similarity 0.8 with probability 0.986, at 0.9 with 0.9996.
 BANDS, ROWS = 6, 3
 
@@ -65,17 +66,23 @@ def line_words(text: str) -> tuple[np.ndarray, list[int]]:
 
 
 def anchors(w: np.ndarray) -> np.ndarray:
-    """Places whose two-word hash is the smallest of the ANCHOR before (strictly) and after them."""
-    h = _rolled(w, 2)
+    """Places of the smallest two-word hash, the last of equal ones, of every ANCHOR places in a row where a passage can begin.
+
+    Which place is taken depends on these words only. So ANCHOR + PASSAGE_WORDS - 1 words
+    that two texts share, whatever they are, hold a passage of both.
+    """
+    h = _rolled(w, 2)[: max(0, len(w) - PASSAGE_WORDS + 1)]
     if not len(h):
         return np.zeros(0, np.int64)
-    pad = np.full(ANCHOR, np.iinfo(np.uint64).max, np.uint64)
-    near = np.concatenate([pad, h, pad])
-    ok = np.ones(len(h), bool)
-    for k in range(ANCHOR):
-        ok &= near[k : k + len(h)] > h
-        ok &= near[ANCHOR + 1 + k : ANCHOR + 1 + k + len(h)] >= h
-    return np.flatnonzero(ok)
+    low = np.uint64(0xFFFFFFFF)
+    # of equal hashes the last is smallest, as the places below them count down
+    least = h & ~low | low - np.arange(len(h), dtype=np.uint64)
+    width, wanted = 1, min(ANCHOR, len(h))
+    while width < wanted:
+        step = min(width, wanted - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    at = (low - (least & low)).astype(np.int64)
+    return at[np.diff(at, prepend=-1) > 0]
 
 
 def _paragraphs(text: str) -> list[tuple[int, int, int, list[int] | None]]:
@@ -83,7 +90,6 @@ def _paragraphs(text: str) -> list[tuple[int, int, int, list[int] | None]]:
     w, ends = line_words(text)
     out: list[tuple[int, int, int, list[int] | None]] = []
     at = anchors(w)
-    at = at[at + PASSAGE_WORDS <= len(w)]
     if len(at):
         h = np.zeros(len(at), np.uint64)
         for k in range(PASSAGE_WORDS):

@@ -389,6 +389,33 @@ def test_substring_dedup_cuts_and_keeps(spark):
     assert substring_dedup.deduplicate(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("period", [1, 2, 3, 4, 7, 51])
+def test_substring_dedup_finds_periodic_passages(spark, period):
+    rng = random.Random(period)
+    unit = words(rng, period, 5000)
+    run = [unit[i % period] for i in range(51)]
+    short = [" ".join(words(rng, 9, 5000)) for _ in range(30)]  # lines that are not banded
+    docs = []
+    for k in range(2):
+        lines = "\n".join(" ".join(run[i : i + 9]) for i in range(0, 51, 9))
+        docs.append("\n".join([*short[k * 15 : k * 15 + 7 + k], lines, *short[k * 15 + 8 : k * 15 + 15]]))
+    rows = substring_dedup.spans(substring_dedup.repeats(frame(spark, [*docs, "\n".join(short[25:29])]))).collect()
+    assert {(r["doc_id"], r["kept"]) for r in rows} >= {(0, True), (1, False)}
+
+
+def test_shared_words_hold_a_common_passage():
+    rng = random.Random(4)
+    held = substring_dedup.ANCHOR + substring_dedup.PASSAGE_WORDS - 1
+    assert held <= 51
+    for k in range(400):
+        run = [f"r{rng.randrange(1 + k % 5)}" for _ in range(held)]
+        found = []
+        for _ in range(2):
+            text = words(rng, rng.randrange(60), 1 + k % 9) + run + words(rng, rng.randrange(60), 1 + k % 9)
+            found.append({h for _, _, h, bands in substring_dedup._paragraphs("\n".join(text)) if bands is None})
+        assert found[0] & found[1]
+
+
 def test_similar_lines_equal_brute_force_components(spark):
     rng = random.Random(1)
     base = words(rng, 120, 5000)
