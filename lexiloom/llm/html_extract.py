@@ -1,8 +1,10 @@
 """Main-text extraction with a consensus of each host's pages.
 
-Every page scores its containers by the running text they hold; a page votes for the
-generalised tag-class path of its best container, votes are counted per host in Spark, and
-every page is extracted again from the container at its host's winning path.
+Every page scores its containers by the running text they hold; the best one gives way to
+an ancestor that holds more of the article (sibling sections, an introduction, a heading).
+A page votes for the generalised tag-class path of what it has found, votes are counted per
+host in Spark, and every page is extracted again from all containers at its host's winning
+path.
 """
 
 from __future__ import annotations
@@ -39,6 +41,13 @@ SKIP_NAMES = frozenset(
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 
+#: Elements that hold others, and those that hold running text.
+CONTAINERS = ("div", "section", "article", "main", "body")
+PARAGRAPHS = ("p", "pre", "blockquote", "li", "td")
+#: A paragraph of so many unlinked characters is prose; siblings are of one article if their prose is so large a part of the best one's text.
+PROSE, JOINED = 80, 0.2
+
+
 class Element:
     __slots__ = ("tag", "names", "parent", "children", "skip", "text", "linked")
 
@@ -167,6 +176,41 @@ def containers(root: Element) -> list[tuple[float, Element]]:
     return [(s, e) for s, _, e in sorted(found, key=lambda x: (-x[0], x[1]))]
 
 
+def unskipped(root: Element, but: Element | None = None) -> Iterator[Element]:
+    """``root`` and the elements under it in page order, without skipped ones and without ``but``."""
+    stack = [root]
+    while stack:
+        e = stack.pop()
+        yield e
+        stack.extend(c for c in reversed(e.children) if isinstance(c, Element) and not c.skip and c is not but)
+
+
+def article(root: Element) -> Element | None:
+    """The best container, or the ancestor that holds the article of which it is a part.
+
+    That is the article or main element around it if what this has besides is mostly not
+    linked, else the outermost container that adds prose: a paragraph of its own, or
+    siblings with JOINED of the text found so far.
+    """
+    ranked = containers(root)
+    if not ranked:
+        return None
+    best = up = inner = ranked[0][1]
+    while up.tag not in ("article", "main") and up.parent is not None:
+        up, inner = up.parent, up
+        more, linked = up.text - best.text, up.linked - best.linked
+        if up.tag not in CONTAINERS or more <= 0 or 2 * linked > more:
+            continue
+        if up.tag in ("article", "main"):
+            best = up
+            continue
+        long = [(e.text - e.linked, e.parent is up) for e in unskipped(up, inner) if e.tag in PARAGRAPHS and e.text - e.linked >= PROSE and 4 * e.linked <= e.text]
+        long += [(n, e is up) for e in unskipped(up, inner) if e.tag in CONTAINERS and (n := sum(len(c.strip()) for c in e.children if isinstance(c, str))) >= PROSE]
+        if any(own for _, own in long) or long and sum(n for n, _ in long) >= JOINED * best.text:
+            best = up
+    return best
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").removeprefix("www.")
@@ -175,23 +219,23 @@ def host_of(url: str | None) -> str:
 
 
 def text_at(page: str, path: str | None) -> str:
-    """The text of the container at ``path``, of the page's own best one if it has none there, or of the whole body."""
+    """The text of all containers at ``path`` in page order, of the page's own article if it has none there, or of the whole body."""
     root = parse(page)
-    ranked = containers(root)
-    own = [e for _, e in ranked if e.path == path] or [e for _, e in ranked[:1]] or [root]
-    return "\n".join(blocks(own[0]))
+    best = article(root)
+    own = [e for e in unskipped(root) if e.tag in (*CONTAINERS, "td") and e.text > e.linked and e.path == path] if best else []
+    return "\n".join(text for e in own or [best or root] for text in blocks(e))
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): how many pages of a host have their best container at a path."""
+    """(host, path, votes): how many pages of a host have their article at a path."""
 
     def run(batches):
         for b in batches:
             rows = []
             for url, page in zip(b["url"], b["html"]):
-                best = containers(parse(page or ""))[:1]
+                best = article(parse(page or ""))
                 if best:
-                    rows.append((host_of(url), best[0][1].path))
+                    rows.append((host_of(url), best.path))
             yield pd.DataFrame(rows, columns=["host", "path"])
 
     return pages.select("url", "html").mapInPandas(run, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))

@@ -155,6 +155,33 @@ def test_html_votes_overrule_a_page(spark):
     assert got[9] == "brief article"
 
 
+PROSE = "Running text of an article that goes on for some time. "
+
+
+@pytest.mark.parametrize(
+    "inside",
+    [
+        "<h1>H</h1><section><p>{a}</p></section><section><p>{b}</p></section><section><p>{c}</p></section>",
+        "<h1>H</h1><section class=one><p>{a}</p></section><div class=two><div><p>{b}</p></div></div><section class=three><p>{c}</p></section>",
+        "<div><div><h1>H</h1></div><div class=deep><div><div><div><p>{a}</p><p>{b}</p></div></div></div></div></div><p>{c}</p>",
+        "<h1>H</h1><p>{a}</p><div class=wrapper><p>{b}</p><p>{c}</p></div>",
+    ],
+)
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>"])
+def test_html_keeps_every_section(spark, inside, around):
+    a, b, c = (("%s " % k + PROSE * n).strip() for k, n in (("a", 6), ("b", 20), ("c", 9)))
+    page = "<html><body><nav><a href=/>Home</a></nav>" + around.format(inside.format(a=a, b=b, c=c)) + "<div class=box>A short remark.</div><div class=more><ul><li><a href=/1>" + PROSE * 9 + "</a></ul></div></body></html>"
+    df = spark.createDataFrame([(i, "http://h.org/", page) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_extract.extract(df).collect()} == {"\n".join(["H", a, b, c])}
+
+
+def test_html_joins_containers_at_one_path(spark):
+    parts = [("%d " % k + PROSE * n).strip() for k, n in enumerate((2, 9, 1))]
+    page = "<body>" + "".join(f"<article><p>{x}</p></article><div class=ad>{x}</div>" for x in parts) + "</body>"
+    got = html_extract.extract(spark.createDataFrame([(1, "http://h.org/", page)], "page_id long, url string, html string")).first()
+    assert got["text"] == "\n".join(parts)
+
+
 # --- op3
 
 
