@@ -104,6 +104,29 @@ def test_decontamination_equals_brute_force(spark, limit):
     assert len(got) > 15
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_decontamination_at_its_threshold(spark, limit):
+    rng = random.Random(6)
+    sizes = [8, 10, 15, 15, 17, 20, 25, 33]
+    items = [(i, " ".join(words(rng, n, 5000))) for i, n in enumerate(sizes)]
+    docs, planted = [], set()
+    for i, item in items:
+        w = item.split()
+        n = len(w)
+        least = -(-6 * n // 10)
+        kept = [{j for j in range(n) if j % 3 != k} for k in range(3)]  # every third word replaced
+        kept += [{j for j in range(n) if j % 5 in places} for places in ((0, 1, 3), (0, 2, 4), (1, 2, 4))]
+        kept += [set(rng.sample(range(n), rng.randrange(least, max(least, 7 * n // 10) + 1))) for _ in range(30)]
+        for keep in kept:
+            if len(keep) >= least:
+                planted.add((len(docs), i))
+                docs.append((len(docs), " ".join([*words(rng, 20, 5000), *(t if j in keep else f"other{j}" for j, t in enumerate(w)), *words(rng, 20, 5000)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["item_tokens"], r["matches"], r["doc_start"]) for r in decontaminate.leaks(frame(spark, [t for _, t in docs]), bench, limit).collect()}
+    assert set(got) >= planted
+    assert got == brute_leaks(docs, items)
+
+
 def test_decontaminate_keeps_clean_rows(spark):
     docs, items = leak_case()
     df = frame(spark, [t for _, t in docs], [d for d, _ in docs])
