@@ -104,6 +104,6 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """Keep the document with the smallest id of each component, all columns as they were."""
-    keep = components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """Keep the document with the smallest id of each component, all columns as they were; rows without an id stay."""
+    drop = components(docs).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first").select("doc_id")
+    return docs.join(drop, "doc_id", "left_anti")

@@ -617,3 +617,9 @@ def test_simhash_deduplicate(spark):
     assert out.columns == df.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 8, 8]
     assert simhash.deduplicate(df.where("false")).count() == 0
+
+
+def test_simhash_deduplicate_keeps_rows_without_an_id(spark):
+    df = frame(spark, ["nothing is like this text", "same words are here", "same words are here", "same words are here", "a group without ids", "a group without ids", None], [None, None, 4, 7, None, None, None])
+    out = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(df).collect()]
+    assert sorted(out, key=repr) == sorted([(4, "same words are here"), *((None, t) for t in ("nothing is like this text", "same words are here", "a group without ids", "a group without ids", None))], key=repr)
