@@ -11,16 +11,21 @@ non-ASCII characters, A-Z in lower case:
   ANCHOR + PASSAGE_WORDS - 1 words or more wherever it stands in a line, periodic ones
   too, and are banded by one key, their whole word sequence.
 
-A paragraph found in several documents stays in the one with the smallest id.
+A paragraph found in several documents stays in the one with the smallest id. Words are
+told apart by 64 bits, paragraphs by two independent hashes of 96 bits together; nothing is
+cut unless both agree. A line of fewer than LINE_WORDS words is a copy only as a part of a
+longer passage: phrases so short recur in texts that have nothing else in common.
 """
 
 from __future__ import annotations
 
 import re
-from zlib import crc32
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +38,9 @@ BANDS, ROWS = 6, 3
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _PLACED = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Paragraphs leave a worker in batches of about so many rows.
+_ROWS = 200_000
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -62,7 +69,7 @@ def line_words(text: str) -> tuple[np.ndarray, list[int]]:
     for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n"):
         words += _WORD.findall(line)
         ends.append(len(words))
-    return np.fromiter(map(crc32, words), np.uint64, len(words)), ends
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), ends
 
 
 def anchors(w: np.ndarray) -> np.ndarray:
@@ -85,44 +92,77 @@ def anchors(w: np.ndarray) -> np.ndarray:
     return at[np.diff(at, prepend=-1) > 0]
 
 
-def _paragraphs(text: str) -> list[tuple[int, int, int, list[int] | None]]:
-    """(start, words, hash, bands) of every paragraph; bands are None for passages."""
+class Paragraphs(NamedTuple):
+    """Of one text, passages before lines. bands has a row for each line."""
+
+    start: np.ndarray
+    words: np.ndarray
+    h: np.ndarray
+    g: np.ndarray
+    bands: np.ndarray
+
+
+def _upper(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _paragraphs(text: str) -> Paragraphs:
     w, ends = line_words(text)
-    out: list[tuple[int, int, int, list[int] | None]] = []
     at = anchors(w)
-    if len(at):
-        h = np.zeros(len(at), np.uint64)
-        for k in range(PASSAGE_WORDS):
-            h = h * _BASE + w[at + k]
-        out += [(s, PASSAGE_WORDS, x, None) for s, x in zip(at.tolist(), _mix(h).view(np.int64).tolist())]
-    lines = [(a, b) for a, b in zip([0, *ends], ends) if b - a >= LINE_WORDS]
-    if lines:
+    h, g = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for k in range(PASSAGE_WORDS if len(at) else 0):
+        h, g = h * _BASE + w[at + k], g * _BASE2 + w[at + k]
+    h, g = _mix(h), _upper(_mix(g))
+    lines = np.array([(a, b) for a, b in zip([0, *ends], ends) if b - a >= LINE_WORDS], np.int64).reshape(-1, 2)
+    keys = np.zeros((BANDS, len(lines)), np.uint64)
+    if len(lines):
         sh = _rolled(w, SHINGLE)
+        size = lines[:, 1] - lines[:, 0]
         # shingles of each line follow one another in ``own``, so that one reduceat takes all minima
-        own = np.concatenate([sh[a : b - SHINGLE + 1] for a, b in lines])
-        cuts = np.cumsum([0, *[b - a - SHINGLE + 1 for a, b in lines[:-1]]])
-        keys = np.zeros((BANDS, len(lines)), np.uint64)
+        own = np.concatenate([sh[a : b - SHINGLE + 1] for a, b in lines.tolist()])
+        cuts = np.cumsum(size - SHINGLE + 1) - (size - SHINGLE + 1)
         for band in range(BANDS):
             for r in range(band * ROWS, band * ROWS + ROWS):
                 keys[band] = keys[band] * _BASE + np.minimum.reduceat(own * _MULTIPLY[r] + _ADD[r], cuts)
             keys[band] = _mix(keys[band] + np.uint64(band))
-        bands = keys.T.copy().view(np.int64).tolist()
-        place = np.arange(1, len(w) + 1, dtype=np.uint64)
-        for (a, b), k in zip(lines, bands):
-            h = _mix((_mix(w[a:b] + place[: b - a] * _BASE)).sum(keepdims=True))
-            out.append((a, b - a, int(h.view(np.int64)[0]), k))
-    return out
+        whole = np.concatenate([w[a:b] for a, b in lines.tolist()])
+        first = np.cumsum(size) - size
+        place = (np.arange(len(whole)) - np.repeat(first, size) + 1).astype(np.uint64)
+        h = np.concatenate([h, _mix(np.add.reduceat(_mix(_mix(whole) + place * _BASE), first))])
+        g = np.concatenate([g, _upper(_mix(np.add.reduceat(_mix(_mix(whole) ^ place * _BASE2), first)))])
+    return Paragraphs(np.concatenate([at, lines[:, 0]]), np.concatenate([np.full(len(at), PASSAGE_WORDS), lines[:, 1] - lines[:, 0]]), h, g, keys.T)
+
+
+def _arrow(ids: list[int], parts: list[Paragraphs]) -> pa.RecordBatch:
+    flat = lambda f, kind: np.concatenate([getattr(p, f) for p in parts]).astype(kind, copy=False)
+    counts = np.concatenate([np.r_[np.zeros(len(p.h) - len(p.bands), np.int64), np.full(len(p.bands), BANDS)] for p in parts])
+    bands = pa.ListArray.from_arrays(
+        np.r_[0, np.cumsum(counts)].astype(np.int32),
+        np.concatenate([p.bands.ravel() for p in parts]).view(np.int64),
+        mask=pa.array(counts == 0),
+    )
+    columns = [np.repeat(np.array(ids, np.int64), [len(p.h) for p in parts]), flat("start", np.int32), flat("words", np.int32), flat("h", np.uint64).view(np.int64), flat("g", np.int32), bands]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["doc_id", "start", "words", "h", "g", "bands"])
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, start (in words), words, h, bands. Rows without an id are left out."""
+    """doc_id, start (in words), words, h, g, bands (null for passages). Rows without an id are left out."""
 
     def run(batches):
         for b in batches:
-            rows = [(d, *p) for d, t in zip(b["doc_id"].tolist(), b["text"].tolist()) if t for p in _paragraphs(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "words", "h", "bands"])
+            ids, parts, rows = [], [], 0
+            for d, t in zip(b.column("doc_id"), b.column("text")):
+                p = _paragraphs(t.as_py() or "")
+                if len(p.h):
+                    ids.append(d.as_py()), parts.append(p)
+                    rows += len(p.h)
+                if rows > _ROWS:
+                    yield _arrow(ids, parts)
+                    ids, parts, rows = [], [], 0
+            if parts:
+                yield _arrow(ids, parts)
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, start int, words int, h long, bands array<long>")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start int, words int, h long, g int, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -157,41 +197,63 @@ def _similar() -> Column:
     return both >= SIMILARITY * (both + F.size("delta"))
 
 
+def _unpaired(star: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with one pivot, one of them at least unlike it, that may be similar; ``star`` as in :func:`similar_lines`."""
+    k = (1 - SIMILARITY) / (1 + SIMILARITY)
+    n, own, at = F.col("n"), F.col("na"), F.col("nb")
+    split = star.where("not similar").select("b").distinct()
+    lost = F.size(F.filter("delta", lambda x: x["side"] == 1))
+    parts = star.join(split, "b", "left_semi").select("b", "a", "similar", "na", "nb", F.size("delta").alias("n"), lost.alias("lost"), F.explode("delta").alias("d")).select("*", "d.side", "d.e").drop("d")
+    known = parts.groupBy("b", "e").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("b", "a").orderBy("df", "e")
+    placed = parts.join(known, ["b", "e"]).select("*", F.row_number().over(order).alias("r"), (F.col("lost") - F.sum("side").over(order)).alias("lost_after"))
+    placed = placed.withColumn("new_after", n - F.col("r") - F.col("lost_after")).where("df > 1")
+    # places up to which a partner of either kind has its first common element, by the least overlap that it needs
+    with_unlike = F.col("r") <= n - F.floor((n - k * own + k * at) / 2 - 1e-9)
+    with_similar = F.col("r") <= n - F.greatest(F.lit(1), F.ceil((n - k * (own + at) + (1 - k)) / 2 - 1e-9)) + 1
+
+    def side(kind: Column, name: str) -> DataFrame:
+        return placed.where(kind).select("b", "e", *[F.col(c).alias(name + c) for c in ("a", "n", "na", "lost_after", "new_after")])
+
+    def met(x: DataFrame, y: DataFrame, once: Column) -> DataFrame:
+        # the rows of a pair's first common element keep it: there, what comes after bounds the rest of the overlap
+        most = 1 + F.least("xnew_after", "ynew_after") + F.least("xlost_after", "ylost_after")
+        possible = F.col("xn") + F.col("yn") - 2 * most <= k * (F.col("xna") + F.col("yna")) + 1e-9
+        return x.join(y, (x["b"] == y["b"]) & (x["e"] == y["e"]) & once & possible).select(F.least("xa", "ya").alias("a"), F.greatest("xa", "ya").alias("b"))
+
+    unlike = ~F.col("similar") & with_unlike
+    among = met(side(unlike, "x"), side(unlike, "y"), F.col("xa") < F.col("ya"))
+    across = met(side(~F.col("similar") & with_similar, "x"), side(F.col("similar") & with_unlike, "y"), F.col("xa") != F.col("ya"))
+    return among.union(across).distinct()
+
+
 def similar_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (a, b) between classes of lines (h, n, doc_id, start, words, bands).
 
-    In every bucket the class with most copies is the pivot, and all others are compared
-    with it. That leaves the links of those unlike their pivot. Let D(x) be what only one
-    of x and the pivot has. If c is unlike the pivot and like some a, D(a) and D(c) have
-    much in common: with k = (1 - s) / (1 + s) for the similarity s, |D(c)| > k (|c| + |p|)
-    and |D(a) - D(c)| + |D(c) - D(a)| <= k (|a| + |c|), so at least half of
-    |D(c)| - k (|c| + |p|) + (1 - k) |D(a)|. Such pairs are found by the prefixes of D(c)
-    and D(a) that two sets with so much in common must share, in the order: what the pivot
-    lacks, rarest first, then what only the pivot has. A match on the latter counts only
-    if what a has lost could be all of that half. So neither variants of one text nor
-    texts without anything in common are paired up, and no pair that banding has brought
-    together loses its link.
+    In every bucket the class with most bucket mates is the pivot, as a text that others
+    vary has more of them than its variants, and all others are compared with it. That
+    leaves the links of those unlike their pivot. Let D(x) be what only one of x and the
+    pivot p has, and k = (1 - s) / (1 + s) for the similarity s: x and y are similar if
+    |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= k (|x| + |y|). If c is unlike the
+    pivot, |D(c)| > k (|c| + |p|), so a partner y shares over (|D(y)| - k |y| + k |p|) / 2
+    of D(y) with it, and c shares as much of D(c) with a partner that is unlike the pivot
+    too, or at least (|D(c)| - k (|c| + |p|) + 1 - k) / 2 with one that is similar to it.
+    Sets with so much in common share an element among the first ones of both, in the
+    order: held by fewest members, smallest hash. At the first common element the elements
+    after it, new ones and those that only the pivot has each by themselves, bound the
+    rest of the overlap; only pairs that can still reach what they need are compared.
+    So neither variants of one text nor texts without anything in common are paired up,
+    and no pair that banding has brought together loses its link.
     """
     filed = classes.select("h", "n", F.explode("bands").alias("key"))
-    pivots = filed.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("n", "h")).alias("p")).where("m > 1").select("key", F.col("p.h").alias("pivot"))
-    met = materialise(filed.join(pivots, "key").select("pivot", "h").distinct(), "buckets")
+    sizes = filed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = materialise(filed.join(sizes, "key"), "shared")
+    mates = shared.groupBy("h").agg(F.sum("m").alias("mates"))
+    pivots = shared.join(mates, "h").groupBy("key").agg(F.max(F.struct("mates", "n", "h")).alias("p")).select("key", F.col("p.h").alias("pivot"))
+    met = materialise(shared.join(pivots, "key").select("pivot", "h").distinct(), "buckets")
     sets = materialise(_shingle_sets(docs, classes.join(met.select("h").distinct(), "h", "left_semi").select("h", "doc_id", "start", "words")), "shingles")
     star = materialise(_compared(met.where("h <> pivot").select(F.col("h").alias("a"), F.col("pivot").alias("b")), sets).withColumn("similar", _similar()), "stars")
-    split = star.where("not similar").select("b").distinct()
-    lost = F.size(F.filter("delta", lambda x: x["side"] == 1))
-    parts = star.join(split, "b", "left_semi").select("b", "a", "similar", "na", "nb", F.size("delta").alias("n"), lost.alias("lost"), F.explode("delta").alias("d")).select("*", "d.side", "d.e").drop("d")
-    order = Window.partitionBy("b", "a").orderBy("side", "df", "e")
-    # dealt by both columns: by the pivot alone, a frequent one would be a single task's work
-    counted = parts.repartition("b", "e").withColumn("df", F.count("*").over(Window.partitionBy("b", "e")))
-    placed = counted.repartition("b", "a").withColumn("r", F.row_number().over(order))
-    k, n = (1 - SIMILARITY) / (1 + SIMILARITY), F.col("n")
-    over = n - k * (F.col("na") + F.col("nb"))
-    asked = F.greatest(F.lit(1), F.ceil((over + (1 - k)) / 2 - 1e-9))
-    given = F.floor((1 - k) * n / 2 - 1e-9) + 1
-    asks = placed.where(~F.col("similar") & (F.col("r") <= n - asked + 1)).select("b", "e", "side", F.col("a").alias("x"), over.alias("over"))
-    answers = placed.where(F.col("r") <= n - given + 1).select("b", "e", F.col("a").alias("y"), (2 * F.col("lost") - (1 - k) * n + 1e-9).alias("room"))
-    rest = asks.join(answers, ["b", "e"]).where("x <> y and (side = 0 or over <= room)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return star.where("similar").select("a", "b").union(_compared(rest, sets).where(_similar()).select("a", "b"))
+    return star.where("similar").select("a", "b").union(_compared(_unpaired(star), sets).where(_similar()).select("a", "b"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -203,21 +265,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     result; other columns are ignored.
     """
     units = materialise(paragraphs(docs), "paragraphs")
-    passages = units.where("bands is null").select("h", "doc_id", "start", "words")
-    twice = passages.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    passages = units.where("bands is null").select("h", "g", "doc_id", "start")
+    twice = passages.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     lines = units.where("bands is not null")
-    classes = materialise(
-        lines.groupBy("h").agg(
-            F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
-            F.min(F.struct("doc_id", "start", "words")).alias("at"), F.first("bands").alias("bands"),
-        ).select("h", "n", "first", "last", "at.*", "bands"), "classes"
+    classes = lines.groupBy("h", "g").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+        F.min(F.struct("doc_id", "start", "words")).alias("at"), F.first("bands").alias("bands"),
     )
+    # of two lines with one h and unequal g, the one with the smaller g is looked at; the other counts as unrepeated
+    classes = materialise(classes.groupBy("h").agg(F.min(F.struct("g", "n", "first", "last", "at", "bands")).alias("c")).select("h", "c.g", "c.n", "c.first", "c.last", "c.at.*", "c.bands"), "classes")
     group = connected_components(similar_lines(docs, classes))
-    of = classes.join(group, classes["h"] == group["node"], "left").select("h", "first", "last", F.coalesce("component", "h").alias("class_id"))
+    of = classes.join(group, classes["h"] == group["node"], "left").select("h", "g", "first", "last", F.coalesce("component", "h").alias("class_id"))
     spread = of.groupBy("class_id").agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most")
-    copied = of.join(spread, "class_id").select("h", "class_id", F.col("least").alias("first"))
-    found = passages.join(twice, "h").select("doc_id", "start", "words", F.col("h").alias("class_id"), "first")
-    found = found.unionByName(lines.select("h", "doc_id", "start", "words").join(copied, "h").select("doc_id", "start", "words", "class_id", "first"))
+    copied = of.join(spread, "class_id").select("h", "g", "class_id", F.col("least").alias("first"))
+    found = passages.join(twice, ["h", "g"]).select("doc_id", "start", F.lit(PASSAGE_WORDS).alias("words"), F.col("h").alias("class_id"), "first")
+    found = found.unionByName(lines.select("h", "g", "doc_id", "start", "words").join(copied, ["h", "g"]).select("doc_id", "start", "words", "class_id", "first"))
     return found.select("doc_id", "start", "words", "class_id", (F.col("doc_id") == F.col("first")).alias("kept"))
 
 
@@ -257,22 +319,22 @@ def without(text: str, cut: list[tuple[int, int]]) -> str:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Texts without the repeats that another document keeps; all columns, n_chars brought up to date.
 
-    A document of which no word is left is dropped.
+    A document of which no word is left is dropped; one that had none stays. Rows without
+    an id stay as they are. Columns of any name are fine.
     """
-    cuts = spans(repeats(docs)).where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "words")).alias("_cut"))
-    joined = docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cut")
-    return _apply_cuts(joined, docs)
-
-
-def _apply_cuts(joined: DataFrame, docs: DataFrame) -> DataFrame:
-    schema, columns = docs.schema, docs.columns
+    schema = docs.schema
+    cuts = spans(repeats(docs)).where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "words")).alias("cut"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(cuts, rows["id"] == cuts["doc_id"], "left").select("row", "cut")
 
     @F.pandas_udf("string")
     def shorter(text: pd.Series, cut: pd.Series) -> pd.Series:
         return pd.Series([t if c is None or t is None else without(t, [(x["start"], x["words"]) for x in c]) for t, c in zip(text, cut)], dtype=object)
 
     shorter = shorter.asNondeterministic()  # else the filter below would run it a second time
-    new = joined.withColumn("_text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(shorter("text", "_cut")))
-    new = new.where(F.col("_cut").isNull() | F.col("_text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
-    values = {"text": F.col("_text"), "n_chars": F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_text")) if "n_chars" in columns else None}
-    return new.select(*[(values[c] if c in values else F.col(c)).cast(schema[c].dataType).alias(c) for c in columns])
+    uncut = F.col("cut").isNull()
+    new = joined.withColumn("text", F.when(uncut, F.col("row.text")).otherwise(shorter("row.text", "cut")))
+    new = new.where(uncut | F.col("text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"))
+    old = {c: F.col("row").getField(c) for c in docs.columns}
+    values = old | {"text": F.col("text")} | ({"n_chars": F.when(uncut, old["n_chars"]).otherwise(F.length("text"))} if "n_chars" in old else {})
+    return new.select(*[values[c].cast(schema[c].dataType).alias(c) for c in docs.columns])
