@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``; a temporary one only where it is unset (local tests)."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``. Where it is unset, a temporary one in local mode and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lexiloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,6 +39,35 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+_SQL = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean"}
+
+
+def from_texts(docs: DataFrame, kept: list[str], made: dict[str, pa.DataType], work: Callable[[], Callable[[str | None], Iterable]], rows: int = 1_000) -> DataFrame:
+    """One row per input row: columns ``kept`` (longs, booleans or strings) as they are, and those ``made`` of its text.
+
+    ``work()`` is called once a task and gives the function of a text that returns the
+    values of a row. Kept columns never leave Arrow, so that long ids beside nulls stay as they are.
+    """
+    types = dict(docs.select(*kept).dtypes)
+    ddl = [f"`{k}` {types[k]}" for k in kept] + [f"`{n}` {_SQL.get(t) or _nested(t)}" for n, t in made.items()]
+
+    def run(batches):
+        of = work()
+        for whole in batches:
+            for b in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
+                values = [tuple(of(t.as_py())) for t in b.column("text")]
+                columns = [pa.array([v[k] for v in values], t) for k, t in enumerate(made.values())]
+                yield pa.RecordBatch.from_arrays([b.column(k) for k in kept] + columns, names=[*kept, *made])
+
+    return docs.select(*kept, "text").mapInArrow(run, ", ".join(ddl))
+
+
+def _nested(t: pa.DataType) -> str:
+    if pa.types.is_list(t):
+        return f"array<{_SQL.get(t.value_type) or _nested(t.value_type)}>"
+    return "struct<" + ", ".join(f"{f.name}: {_SQL[f.type]}" for f in t) + ">"
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

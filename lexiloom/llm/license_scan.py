@@ -12,8 +12,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import from_texts
 
 #: Phrases whose every place counts, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -198,16 +201,19 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES) -> DataFr
     an empty result; other columns are ignored.
     """
 
-    def run(batches):
+    match = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("words", pa.int64())]))
+    made = dict.fromkeys(["n_words", "n_base", "first_word", "last_word"], pa.int64()) | {"base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "matches": match}
+
+    def work():
         scanner = Scanner(templates)
-        for b in batches:
-            rows = [(d, *scanner(t)) for d, t in zip(b["doc_id"], b["text"])]
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"])
-            out["matches"] = [[{"label": x, "word": i, "words": n} for x, i, n in m] for m in out["matches"]]
-            yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
-
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label string, word long, words long>>"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+        def row(text: str | None) -> tuple:
+            *counts, found = scanner(text)
+            return *counts, [{"label": x, "word": i, "words": n} for x, i, n in found]
+
+        return row
+
+    return from_texts(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], made, work)
 
 
 def oracle_sql(templates: dict[str, list[str]] = TEMPLATES) -> str:

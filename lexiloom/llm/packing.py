@@ -1,26 +1,27 @@
 """Sequence packing as vector bin packing with a dot-product heuristic.
 
 An example asks for tokens, one segment and loss-bearing tokens; a sequence has a limit on
-each. An example goes to the open sequence that has room in every respect and whose room
-points most the way of the example (the largest dot product, each respect as a share of
-its limit). Packing is local to a partition: nothing is shuffled, memory holds the open
-sequences alone, and a lost task packs its rows again the same way.
+each. One sequence is filled at a time, from a pool of waiting examples: of those that it
+has room for in every respect, the one goes in whose demands point most the way of the room
+(the largest dot product, each respect as a share of its limit). Packing is local to a
+partition: nothing is shuffled, memory holds the pool and one sequence, and a lost task
+packs its rows again the same way.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any, NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
-
-import zlib
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-MAX_TOKENS, MAX_SEGMENTS, OPEN = 1024, 64, 64
+MAX_TOKENS, POOL = 1024, 64
 
 
 class Piece(NamedTuple):
@@ -45,176 +46,192 @@ class Piece(NamedTuple):
 class Packer:
     """Packs pieces one after another. ``add`` and ``finish`` give closed sequences, as lists of pieces.
 
-    With ``cut``, a piece that fits nowhere whole fills the fullest sequence and goes on in
-    another, and the sequences left at the end are dealt anew to lengths that are ``tokens``
-    or powers of two. Without, pieces stay whole; one that alone is over a limit is an error.
+    With ``cut``, where nothing waiting fits whole, the piece that points most the way of
+    the room is cut to fill it and its rest waits on; what is left at the end goes, by the
+    same choice, into sequences whose lengths are powers of two. Without, pieces stay whole;
+    one that alone is over a limit is an error.
     """
 
     tokens: int = MAX_TOKENS
-    segments: int = MAX_SEGMENTS
+    segments: int = MAX_TOKENS
     loss: int = MAX_TOKENS
-    open: int = OPEN
+    pool: int = POOL
     cut: bool = True
-    bins: list[list[Piece]] = field(default_factory=list)
+    waiting: list[Piece] = field(default_factory=list)
+    sequence: list[Piece] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.limits = np.array([self.tokens, self.segments, self.loss], float)
-        self.room = np.zeros((self.open, 3))
-
-    def _put(self, k: int, p: Piece) -> Iterator[list[Piece]]:
-        if k == len(self.bins):
-            self.bins.append([])
-            self.room[k] = self.limits
-        self.bins[k].append(p)
-        self.room[k] -= (len(p.data), 1, p.bearing)
-        if self.room[k, 0] == 0 or self.room[k, 1] == 0:
-            yield self._close(k)
-
-    def _close(self, k: int) -> list[Piece]:
-        done, last = self.bins[k], self.bins.pop()
-        if k < len(self.bins):
-            self.bins[k] = last
-            self.room[k] = self.room[len(self.bins)]
-        return done
+        self.room = self.limits.copy()
+        self.asks = np.zeros((self.pool + 1, 3))
 
     def add(self, p: Piece) -> Iterator[list[Piece]]:
-        while self.cut and len(p.data) >= self.tokens and (p.loss is None and self.loss >= self.tokens):
-            head, p = p.cut(self.tokens)
-            yield [head]
-        if len(p.data):
-            yield from self._place(p)
-
-    def _place(self, p: Piece) -> Iterator[list[Piece]]:
-        while True:
-            ask = np.array([len(p.data), 1, p.bearing], float)
-            n = len(self.bins)
-            fits = (self.room[:n] >= ask).all(axis=1)
-            if fits.any():
-                towards = (self.room[:n] / self.limits) @ (ask / self.limits)
-                # a bin that the piece fills to the brim comes first, then the largest dot product
-                towards[self.room[:n, 0] == ask[0]] = 9
-                yield from self._put(int(np.where(fits, towards, -1).argmax()), p)
-                return
-            if (ask > self.limits).any() and not self.cut:
-                raise ValueError(f"example {p.example!r} alone is over a limit: {ask.tolist()}")
-            if n < self.open and (ask <= self.limits).all():
-                yield from self._put(n, p)
-                return
-            if not self.cut:
-                yield self._close(int(self.room[:n, 0].argmin()))
-                continue
-            usable = np.where(self.room[:n, 2] >= 1, self.room[:n, 0], np.inf) if n else np.array([])
-            if not n or not np.isfinite(usable).any():
-                if n == self.open:
-                    yield self._close(int(self.room[:n, 0].argmin()))
-                    n -= 1
-                k, space = n, self.limits
-            else:
-                k = int(usable.argmin())
-                space = self.room[k]
-            size = min(int(space[0]), len(p.data))
-            if p.loss is None:
-                size = min(size, int(space[2]))
-            else:
-                size = max(1, min(size, int(np.searchsorted(np.cumsum(p.loss), space[2], side="right"))))
-            head, p = p.cut(size)
-            yield from self._put(k, head)
-            if not len(p.data):
-                return
+        if not self.cut and (self._ask(p) > self.limits).any():
+            raise ValueError(f"example {p.example!r} alone is over a limit: {self._ask(p)}")
+        self._wait(p)
+        while len(self.waiting) > self.pool:
+            yield from self._step()
 
     def finish(self) -> Iterator[list[Piece]]:
-        left, self.bins = self.bins, []
-        if not self.cut or self.loss < self.tokens:
-            yield from left
+        whole = self.cut and self.loss >= self.tokens
+        while self.waiting and not (whole and self._left() < self.tokens):
+            yield from self._step()
+        if whole:
+            left = self._left()
+            for p in self.sequence:
+                self._wait(p)
+            self.sequence, limits = [], self.limits
+            for size in (1 << k for k in range(left.bit_length() - 1, -1, -1) if left >> k & 1):
+                self.limits = np.array([size, self.segments, size], float)
+                self.room = self.limits.copy()
+                done: list[list[Piece]] = []
+                while sum(len(p.data) for s in done for p in s) < size:
+                    done += self._step()
+                yield from done
+            self.limits = limits
+        if self.sequence:
+            yield self._close()
+
+    def _left(self) -> int:
+        return sum(len(p.data) for p in self.waiting) + sum(len(p.data) for p in self.sequence)
+
+    def _ask(self, p: Piece) -> tuple[int, int, int]:
+        return len(p.data), 1, p.bearing
+
+    def _wait(self, p: Piece) -> None:
+        if len(self.waiting) == len(self.asks):
+            self.asks = np.concatenate([self.asks, np.zeros_like(self.asks)])
+        self.asks[len(self.waiting)] = self._ask(p)
+        self.waiting.append(p)
+
+    def _take(self, k: int) -> Piece:
+        p, last = self.waiting[k], self.waiting.pop()
+        if k < len(self.waiting):
+            self.waiting[k], self.asks[k] = last, self.asks[len(self.waiting)]
+        return p
+
+    def _close(self) -> list[Piece]:
+        done, self.sequence, self.room = self.sequence, [], self.limits.copy()
+        return done
+
+    def _step(self) -> Iterator[list[Piece]]:
+        """Puts one piece, or the part of one that fits, into the sequence; closes what is full."""
+        asks = self.asks[: len(self.waiting)]
+        fits = (asks <= self.room).all(axis=1)
+        # a piece larger than the room counts for the part of it that the room could take
+        towards = np.minimum(asks, self.room) @ (self.room / self.limits**2)
+        if fits.any():
+            p = self._take(int(np.where(fits, towards, -1.0).argmax()))
+        elif not self.cut:
+            yield self._close()
             return
-        rest = [p for b in left for p in b]
-        total, sizes = sum(len(p.data) for p in rest), []
-        sizes += [self.tokens] * (total // self.tokens)
-        sizes += [1 << k for k in range(self.tokens.bit_length(), -1, -1) if (total % self.tokens) >> k & 1]
-        for size in sizes:
-            row: list[Piece] = []
-            while size:
-                if len(row) == self.segments:
-                    yield row
-                    row = []
-                p = rest.pop(0)
-                if len(p.data) > size:
-                    p, more = p.cut(size)
-                    rest.insert(0, more)
-                row.append(p)
-                size -= len(p.data)
-            yield row
-
-
-_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-
-
-def _frame(sequences: list[list[Piece]], first: int) -> pd.DataFrame:
+        else:
+            k = int(towards.argmax())
+            p = self.waiting[k]
+            size = min(int(self.room[0]), len(p.data), int(self.room[2]) if p.loss is None else len(p.data))
+            if p.loss is not None:
+                size = min(size, int(np.searchsorted(np.cumsum(p.loss), self.room[2], side="right")))
+            if not size or not self.room[1]:
+                yield self._close()
+                return
+            p, rest = p.cut(size)
+            self.waiting[k], self.asks[k] = rest, self._ask(rest)
+        self.sequence.append(p)
+        self.room -= self._ask(p)
+        if self.room[0] == 0 or self.room[1] == 0:
+            yield self._close()
+
+
+_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def _longs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names=names)
+
+
+def _pieces(sequences: list[list[Piece]], first: int) -> pa.RecordBatch:
     rows = []
     for k, s in enumerate(sequences, first):
         at = 0
         for p in s:
             rows.append((p.example, p.start, len(p.data), zlib.crc32(p.data.astype("<u4", copy=False).tobytes()), p.total, k, at))
             at += len(p.data)
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
+    return _longs(rows, _COLUMNS)
+
 
+def _packed(pieces: Iterator[Piece], packer: Packer, frame, flush: int = 1_000) -> Iterator[pa.RecordBatch]:
+    n, closed = TaskContext.get().partitionId() << 32, []
+    for p in pieces:
+        closed.extend(packer.add(p))
+        if len(closed) >= flush:
+            yield frame(closed, n)
+            n, closed = n + len(closed), []
+    closed.extend(packer.finish())
+    if closed:
+        yield frame(closed, n)
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, separator: int = 0) -> DataFrame:
+
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, tokens: int = MAX_TOKENS, segments: int | None = None, separator: int = 0, pool: int = POOL) -> DataFrame:
     """Pieces of all documents in sequences of at most ``tokens`` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids, then ``separator``; a null or empty text is the separator alone.
-    Sequence ids are unique, not consecutive: the partition's number times 2^32 and a
-    count. Rows with equal ids are packed each; a null id stays null; an empty table gives
-    an empty result; other columns are ignored.
+    All ids but a document's first, which nothing foretells, bear loss. Without a limit on
+    ``segments`` every sequence holds ``tokens`` ids, but for those at the end of a
+    partition, whose lengths are powers of two. Sequence ids are unique, not consecutive:
+    the partition's number times 2^32 and a count. Rows with equal ids are packed each; a
+    null id stays null; an empty table gives an empty result; other columns are ignored.
     """
     from .tokens import BpeEncoder
 
     def run(batches):
         encode = BpeEncoder.load(tokenizer)
-        packer = Packer(tokens, segments, tokens)
-        n = TaskContext.get().partitionId() << 32
-        for b in batches:
-            closed: list[list[Piece]] = []
-            for doc, text in zip(b["doc_id"].tolist(), b["text"].tolist()):
-                ids = encode(text or "", separator)
-                closed.extend(packer.add(Piece(None if doc is None or doc != doc else int(doc), 0, ids, None, len(ids))))
-            if closed:
-                yield _frame(closed, n)
-                n += len(closed)
-        closed = list(packer.finish())
-        if closed:
-            yield _frame(closed, n)
-
-    return docs.select("doc_id", "text").mapInPandas(run, _SCHEMA)
-
-
-def pack_examples(examples: DataFrame, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_TOKENS, open_sequences: int = OPEN) -> DataFrame:
-    """Whole examples (example_id, n_tokens, n_loss) under all three limits: example_id, sequence_id, offset.
+
+        def pieces():
+            for b in batches:
+                for doc, text in zip(b.column("doc_id"), b.column("text")):
+                    ids = encode(text.as_py() or "", separator)
+                    yield Piece(doc.as_py(), 0, ids, np.arange(len(ids)) > 0, len(ids))
+
+        yield from _packed(pieces(), Packer(tokens, segments or tokens, tokens, pool), _pieces)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in _COLUMNS))
+
+
+def pack_examples(examples: DataFrame, tokens: int = MAX_TOKENS, segments: int = MAX_TOKENS, loss: int = MAX_TOKENS, pool: int = POOL) -> DataFrame:
+    """Whole examples (example_id, n_tokens, n_loss) under all three limits: example_id, n_tokens, n_loss, sequence_id, offset.
 
     For instruction data, where an example may not be cut. Null counts are 0; an example
     over a limit by itself fails the job, by name. An empty table gives an empty result.
     """
+    names = ["example_id", "n_tokens", "n_loss", "sequence_id", "offset"]
+
+    def frame(closed: list[list[Piece]], first: int) -> pa.RecordBatch:
+        rows = []
+        for k, s in enumerate(closed, first):
+            at = 0
+            for p in s:
+                rows.append((p.example, len(p.data), p.bearing, k, at))
+                at += len(p.data)
+        return _longs(rows, names)
 
     def run(batches):
-        packer = Packer(tokens, segments, loss, open_sequences, cut=False)
-        n = TaskContext.get().partitionId() << 32
-
-        def frame(closed):
-            nonlocal n
-            rows = []
-            for s in closed:
-                at = 0
-                for p in s:
-                    rows.append((p.example, n, at))
-                    at += len(p.data)
-                n += 1
-            return pd.DataFrame(rows, columns=["example_id", "sequence_id", "offset"])
-
-        for b in batches:
-            closed: list[list[Piece]] = []
-            for e, t, m in zip(b["example_id"].tolist(), b["n_tokens"].fillna(0).astype(int).tolist(), b["n_loss"].fillna(0).astype(int).tolist()):
-                closed.extend(packer._place(Piece(e, 0, np.zeros(t, np.uint8), np.arange(t) < m, t)))
-            yield frame(closed)
-        yield frame(packer.finish())
-
-    return examples.selectExpr("example_id", "n_tokens", "n_loss").mapInPandas(run, "example_id long, sequence_id long, offset long")
+        def pieces():
+            for b in batches:
+                for e, t, m in zip(*(b.column(c).to_pylist() for c in names[:3])):
+                    yield Piece(e, 0, np.zeros(t or 0, np.uint8), np.arange(t or 0) < (m or 0), t or 0)
+
+        yield from _packed(pieces(), Packer(tokens, segments, loss, pool, cut=False), frame)
+
+    return examples.select(*[F.col(c).cast("long") for c in names[:3]]).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def conversation_examples(turns: DataFrame, count: Column, tokens: int, loss: int) -> DataFrame:
+    """Instruction examples of conversations (conv_id, turn, role, text): example_id, n_tokens, n_loss.
+
+    ``count`` is the number of tokens of a turn; what the assistant says bears loss. A
+    conversation over either limit is no example: no sequence takes it whole. A null text
+    has no tokens; rows without a conv_id belong to none.
+    """
+    n = F.coalesce(count, F.lit(0))
+    sums = turns.where("conv_id is not null").groupBy(F.col("conv_id").alias("example_id")).agg(F.sum(n).alias("n_tokens"), F.sum(F.when(F.col("role") == "assistant", n).otherwise(0)).alias("n_loss"))
+    return sums.where((F.col("n_tokens") <= tokens) & (F.col("n_loss") <= loss))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, language_id, license_scan, packing, quality_classifier, quality_rules, simhash, substring_dedup, tokens
+from .textstats import words_of
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +29,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations, a word counting as a token."""
+    count = F.size(words_of(F.coalesce("text", F.lit(""))))
+    tokens, loss = packing.MAX_TOKENS, packing.MAX_TOKENS * 3 // 4
+    examples = packing.conversation_examples(_read(spark, sf_dir, "conversations"), count, tokens, loss)
+    return packing.pack_examples(examples, tokens, 64, loss)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.assess(_read(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -59,6 +68,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
+    "instruction_packing": instruction_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,

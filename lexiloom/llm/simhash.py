@@ -16,12 +16,12 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, from_texts, materialise
 
 BITS, HALF, RADIUS, BUCKET = 64, 32, 4, 64
 
@@ -48,11 +48,11 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp as a signed long. A null or empty text, or one of white space, has 0."""
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)})
+    def signed(text: str | None) -> tuple[int]:
+        x = fingerprint(text)
+        return (x - (1 << 64) if x >> 63 else x,)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return from_texts(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], {"fp": pa.int64()}, lambda: signed)
 
 
 def _halves(fp: Column) -> Column:
@@ -104,6 +104,10 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """Keep the document with the smallest id of each component, all columns as they were; rows without an id stay."""
-    drop = components(docs).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first").select("doc_id")
+    """Keep the document with the smallest id of each component, all columns as they were.
+
+    Rows without an id stay. Rows of one id stay or go together: they go if any of their
+    texts is a near copy of a document with a smaller id.
+    """
+    drop = components(docs).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first").select("doc_id")
     return docs.join(drop, "doc_id", "left_anti")
