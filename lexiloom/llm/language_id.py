@@ -3,8 +3,8 @@
 For each language a suffix automaton is built over a bounded sample of labelled text. A
 text is cross-parsed against it: from each place the longest match within the sample is a
 phrase, and the next phrase starts after it. The language needing fewest phrases, by the
-bits they would take a character, wins. The automata are dense tables, and many blocks of
-text are walked through all of them in step.
+bits they would take a character, wins. Many texts are walked through an automaton in
+step, each from its first letter to its last.
 """
 
 from __future__ import annotations
@@ -13,22 +13,23 @@ import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import training_rows
 
-#: Characters of training text a language, and of one training document.
-SAMPLE_CHARS, DOCUMENT_CHARS = 40_000, 2_000
-#: Characters that get a symbol of their own: the most frequent ones of all samples; the others share one.
-SYMBOLS = 64
-#: Texts are parsed in blocks of so many characters; a phrase ends with its block.
-BLOCK = 512
-LANES = 8192
+#: Characters of training text a language.
+SAMPLE_CHARS = 40_000
+#: An automaton of more table entries than this keeps its steps sorted instead of in a table.
+DENSE = 16_000_000
+#: Fewer texts than this aren't walked in step but one by one.
+LANES = 24
+#: Texts are walked together up to so many, and up to so many characters.
+TOGETHER, TOGETHER_CHARS = 4_096, 4_000_000
 #: Scores: a language that takes one bit a character more weighs 2 to this power less.
 SHARPNESS = 8
-_AGAIN = np.int32(1 << 30)
+_AGAIN = np.int64(1 << 40)
 
 
 @lru_cache(1)
@@ -53,7 +54,7 @@ def fold(text: str) -> np.ndarray:
 
 
 class SuffixAutomaton:
-    """All substrings of a sequence of symbols, as a dense table of next states, -1 where none is."""
+    """All substrings of a sequence of symbols below ``symbols``: the next states of each state by symbol, and each state's longest string."""
 
     def __init__(self, data: list[int], symbols: int):
         nxt, link, length = [{}], [-1], [0]
@@ -81,78 +82,126 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.table = np.full((len(nxt), symbols), -1, np.int32)
-        for s, edges in enumerate(nxt):
-            for c, t in edges.items():
-                self.table[s, c] = t
+        self.next, self.symbols = nxt, symbols
 
-    def parser(self) -> np.ndarray:
-        """Flat table in which a missing step begins a new phrase at the root, marked by the bit _AGAIN.
 
-        A symbol that the root lacks is a phrase of its own and leads back to the root. Entries
-        are row offsets, so that a step is one addition and one look-up.
-        """
-        symbols = self.table.shape[1]
-        root = np.where(self.table[0] < 0, 0, self.table[0] * symbols)
-        return np.where(self.table < 0, root[None, :] | _AGAIN, self.table * symbols).astype(np.int32).ravel()
+class Parser:
+    """Steps of an automaton, in which one from the root, or one that is missing, begins a phrase there and is marked by the bit _AGAIN.
+
+    A symbol that the sample lacks is a phrase of its own and leads back to the root.
+    """
+
+    def __init__(self, automaton: SuffixAutomaton, dense: int = DENSE):
+        nxt, self.symbols = automaton.next, automaton.symbols + 1
+        self.again = np.full(self.symbols, _AGAIN)
+        for c, t in nxt[0].items():
+            self.again[c] |= t
+        edges = [(s * self.symbols + c, t) for s, e in enumerate(nxt) if s for c, t in e.items()]
+        keys, to = np.array([k for k, _ in edges], np.int64), np.array([t for _, t in edges], np.int64)
+        self.table = None
+        if len(nxt) * self.symbols <= dense:
+            self.table = np.tile(self.again, len(nxt))
+            self.table[keys] = to
+        else:
+            order = np.argsort(keys)
+            self.keys, self.to = np.append(keys[order], np.iinfo(np.int64).max), np.append(to[order], 0)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states; the last symbol stands for all that the sample lacks."""
+        key = state * self.symbols + symbol
+        if self.table is not None:
+            return self.table[key]
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.to[at], self.again[symbol])
 
 
 class LanguageModel:
-    def __init__(self, samples: dict[str, np.ndarray]):
+    """A parser for each language over the letters of its own sample."""
+
+    def __init__(self, samples: dict[str, np.ndarray], dense: int = DENSE):
         self.languages = sorted(samples)
-        points, times = np.unique(np.concatenate([samples[g] for g in self.languages]), return_counts=True)
-        known = points[np.lexsort((points, -times))][:SYMBOLS]
-        self.size = len(known) + 1
-        self.letters = np.full(0x110000, self.size - 1, np.uint8)
-        self.letters[known] = np.arange(len(known))
-        self.tables = [SuffixAutomaton(self.letters[samples[g]].tolist(), self.size).parser() for g in self.languages]
+        self.points = np.unique(np.concatenate([samples[g] for g in self.languages]))
+        self.own, self.parsers = [], []
+        for g in self.languages:
+            mine = np.unique(samples[g])
+            # of each known letter its number in this language; other letters have the last one
+            own = np.full(len(self.points) + 1, len(mine), np.int64)
+            own[np.searchsorted(self.points, mine)] = np.arange(len(mine))
+            self.own.append(own)
+            self.parsers.append(Parser(SuffixAutomaton(np.searchsorted(mine, samples[g]).tolist(), len(mine)), dense))
         self.bits = [math.log2(max(2, len(samples[g]))) for g in self.languages]
 
+    def _codes(self, text: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.points, text)
+        at[at == len(self.points)] = 0
+        return np.where(self.points[at] == text, at, len(self.points))
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each folded text, a column for each language."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        owner: list[int] = []
-        parts: list[np.ndarray] = []
-        for i, t in enumerate(texts):
-            codes = self.letters[t]
-            for a in range(0, len(codes), BLOCK):
-                parts.append(codes[a : a + BLOCK])
-                owner.append(i)
-        for a in range(0, len(parts), LANES):
-            self._walk(parts[a : a + LANES], np.array(owner[a : a + LANES]), out)
+        order = sorted((i for i in range(len(texts)) if len(texts[i])), key=lambda i: -len(texts[i]))
+        while order:
+            n = min(len(order), TOGETHER, max(1, TOGETHER_CHARS // len(texts[order[0]])))
+            now, order = order[:n], order[n:]
+            codes = [self._codes(texts[i]) for i in now]
+            for g in range(len(self.languages)):
+                out[now, g] = self._walk(g, codes)
         return out
 
-    def _walk(self, parts: list[np.ndarray], owner: np.ndarray, out: np.ndarray) -> None:
-        order = np.argsort([-len(p) for p in parts], kind="stable")
-        sizes = np.array([len(parts[i]) for i in order])
-        grid = np.zeros((int(sizes[0]), len(parts)), np.int32)
-        for lane, i in enumerate(order):
-            grid[: sizes[lane], lane] = parts[i]
-        alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
-        for g, table in enumerate(self.tables):
-            state = np.zeros(len(parts), np.int32)
-            count = np.ones(len(parts), np.int32)  # the phrase that ends with the block
-            for step, n in enumerate(alive.tolist()):
-                s = state[:n]
-                s += grid[step, :n]
-                np.take(table, s, out=s, mode="clip")
-                count[:n] += s >> 30
-                s &= _AGAIN - 1
-            np.add.at(out[:, g], owner[order], count)
-
-
-def train(docs: DataFrame, chars: int = SAMPLE_CHARS, document_chars: int = DOCUMENT_CHARS) -> LanguageModel | None:
-    """Learn from at most ``chars`` characters a language, taken from training documents in the order of their hashed ids."""
-    ok = docs.select("doc_id", "lang", F.substring("text", 1, document_chars).alias("text")).where("lang is not null and doc_id is not null and text <> ''").where(training_rows())
-    few = 2 * chars // document_chars + 200
-    chosen = ok.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= few).select("lang", "doc_id", "r")
-    rows = ok.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "r", "text").collect()  # bounded: few rows of few characters a language
-    texts: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["r"], r["text"])):
-        have = texts.get(r["lang"], "")
-        if len(have) < chars:
-            texts[r["lang"]] = have + " " + r["text"]
-    samples = {g: t for g, x in texts.items() if len(t := fold(x)[:chars])}
+    def _walk(self, g: int, codes: list[np.ndarray]) -> np.ndarray:
+        """Phrases of texts in the order of falling length: those still going are walked in step, and the last few alone."""
+        own, parser = self.own[g], self.parsers[g]
+        sizes = np.array([len(c) for c in codes])
+        steps = int(sizes[LANES]) if len(codes) > LANES else 0
+        grid = np.zeros((steps, len(codes)), np.int64)
+        for lane, c in enumerate(codes):
+            grid[: min(steps, len(c)), lane] = own[c[:steps]]
+        alive = np.searchsorted(-sizes, -np.arange(1, steps + 1), side="right").tolist()
+        state, count = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+        for k, n in enumerate(alive):
+            to = parser.step(state[:n], grid[k, :n])
+            count[:n] += to >> 40
+            state[:n] = to & (_AGAIN - 1)
+        for lane in range(int((sizes > steps).sum())):
+            count[lane] += self._alone(parser, own[codes[lane][steps:]], int(state[lane]))
+        return count
+
+    @staticmethod
+    def _alone(parser: Parser, symbols: np.ndarray, state: int) -> int:
+        count, again = 0, int(_AGAIN)
+        if parser.table is not None:
+            table, width = parser.table, parser.symbols
+            for c in symbols.tolist():
+                state = int(table[state * width + c])
+                if state >= again:
+                    state -= again
+                    count += 1
+            return count
+        for c in symbols:
+            to = int(parser.step(np.array([state]), np.array([c]))[0])
+            state, count = to & (again - 1), count + (to >> 40)
+        return count
+
+
+def train(docs: DataFrame, chars: int = SAMPLE_CHARS) -> LanguageModel | None:
+    """Learn from ``chars`` characters a language: whole texts with a letter in the order of their hashed ids, of the last only a piece from a hashed place.
+
+    Rows of one id and language count as one. Every text has a character at least, so the
+    first ``chars`` ids of a language always suffice.
+    """
+    ok = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & training_rows() & F.col("text").rlike("\\p{L}"))
+    ids = ok.groupBy("lang", "doc_id").agg(F.max(F.length("text")).alias("size")).withColumn("h", F.xxhash64("doc_id"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    first = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= chars)
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    chosen = first.withColumn("before", before).where(F.col("before") < chars).select("lang", "doc_id", "r", (chars - F.col("before")).alias("wanted"))
+    # at most ``chars`` rows of four values a language, in practice a few dozen
+    piece = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - F.col("wanted"), F.lit(0)) + 1).cast("int") + 1, F.col("wanted").cast("int"))
+    taken = ok.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "r", piece.alias("piece")).groupBy("lang", "r").agg(F.min("piece").alias("piece"))
+    texts: dict[str, list[str]] = {}
+    for r in sorted(taken.collect(), key=lambda r: (r["lang"], r["r"])):
+        texts.setdefault(r["lang"], []).append(r["piece"])
+    samples = {g: t for g, x in texts.items() if len(t := fold(" ".join(x)))}
     return LanguageModel(samples) if samples else None
 
 
@@ -166,21 +215,26 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """
     model = model or train(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "held_out", "lang_pred", "score", "bits"]
+
+    def judged(m: LanguageModel | None, texts: list[np.ndarray]) -> tuple[pa.Array, pa.Array, pa.Array]:
+        pred, score, bits = [], [], []
+        counts = m.phrases(texts) if m else None
+        for i, t in enumerate(texts):
+            if not len(t) or m is None:
+                pred.append("und"), score.append(0.0), bits.append(None)
+                continue
+            cost = counts[i] * np.array(m.bits) / len(t)
+            k = int(cost.argmin())
+            weight = 2.0 ** (SHARPNESS * (cost.min() - cost))
+            pred.append(m.languages[k]), score.append(float(1 / weight.sum())), bits.append(float(cost[k]))
+        return pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())
 
     def run(batches):
         m = sent.value
         for b in batches:
-            texts = [fold(t or "") for t in b["text"]]
-            pred, score, bits = [], [], []
-            counts = m.phrases(texts) if m else None
-            for i, t in enumerate(texts):
-                if not len(t) or m is None:
-                    pred.append("und"), score.append(0.0), bits.append(None)
-                    continue
-                cost = counts[i] * np.array(m.bits) / len(t)
-                k = int(cost.argmin())
-                weight = 2.0 ** (SHARPNESS * (cost.min() - cost))
-                pred.append(m.languages[k]), score.append(float(1 / weight.sum())), bits.append(float(cost[k]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": pred, "score": score, "bits": bits})
-
-    return docs.select("doc_id", F.coalesce(~training_rows(), F.lit(False)).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, bits double")
+            made = judged(m, [fold(t.as_py() or "") for t in b.column("text")])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *made], names=names)
+
+    asked = docs.select(F.col("doc_id").cast("long"), F.coalesce(~training_rows(), F.lit(False)).alias("held_out"), "text")
+    return asked.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits double")
