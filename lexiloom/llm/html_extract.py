@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 #: Winning paths are broadcast up to so many hosts; beyond, they are joined by shuffle.
 BROADCAST_HOSTS = 100_000
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s=/>][^\s=/>]*)(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
 _SPLIT = re.compile(r"[\s_\-]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,11 +35,19 @@ BLOCK = frozenset(
 #: An open element (value) that the start of another one (key) ends.
 _ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = frozenset("ul ol dl table select menu".split())
-#: Elements and names (whole parts of a class or id) that hold no part of the article.
+_BOUNDS = frozenset("body article main section div td th li table ul ol".split())
+_DIGITS = re.compile(r"\d+")
+#: Elements that hold no part of the article.
 SKIP_TAGS = frozenset("head nav footer aside form script style noscript template iframe button select textarea svg canvas object menu dialog search title".split())
+#: A class or id marks such a part if it is one of these words, or made of them and of words that only tell where or how.
 SKIP_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus replies cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup share sharing social related recommended popup modal overlay login search widget toolbar pagination pager copyright legal".split()
 )
+PLAIN_NAMES = frozenset(
+    "a and area articles bar block body bottom box btn button buttons container content count desktop entry form global group header headline icon icons image images inner item items js left link links list main mobile module more outer page panel policy post posts primary reader right row secondary section site slot sticky stories thread title top unit us user wrap wrapper".split()
+)
+#: Elements deeper than this become siblings, as in browsers; it bounds every search up the tree.
+DEEPEST = 256
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 
@@ -49,13 +59,14 @@ PROSE, JOINED = 80, 0.2
 
 
 class Element:
-    __slots__ = ("tag", "names", "parent", "children", "skip", "text", "linked")
+    __slots__ = ("tag", "names", "parent", "children", "skip", "text", "linked", "depth", "step", "key")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None):
         self.tag, self.parent = tag, parent
+        self.depth = parent.depth + 1 if parent else 0
         self.children: list[Element | str] = []
         self.names = attributes.get("class", "").lower().split()
-        parts = set(_SPLIT.split(attributes.get("class", "").lower() + " " + attributes.get("id", "").lower()))
+        marks = self.names + attributes.get("id", "").lower().split()
         style = attributes.get("style", "").replace(" ", "").lower()
         self.skip = (
             tag in SKIP_TAGS
@@ -63,55 +74,121 @@ class Element:
             or "hidden" in attributes
             or attributes.get("aria-hidden") == "true"
             or "display:none" in style
-            or tag not in ("html", "body", "main", "article") and not parts.isdisjoint(SKIP_NAMES)
+            or tag not in ("html", "body", "main", "article") and any(map(_marks_boilerplate, marks))
         )
 
+        self.step = ".".join([tag, *sorted({_DIGITS.sub("#", n) for n in self.names})])
+        #: Equal for elements of one page at equal paths.
+        self.key: int = hash((parent.key, self.step)) if parent else 0
+
     @property
     def path(self) -> str:
         """Tags from the root down, with classes; runs of digits become #."""
         out, e = [], self
         while e.parent is not None:
-            out.append(".".join([e.tag, *sorted(re.sub(r"\d+", "#", n) for n in set(e.names))]))
+            out.append(e.step)
             e = e.parent
         return "/".join(reversed(out))
 
 
+def key_of(path: str | None) -> int:
+    """The ``key`` of elements at a path."""
+    key = 0
+    for step in (path or "").split("/"):
+        key = hash((key, step))
+    return key
+
+
+def _marks_boilerplate(name: str) -> bool:
+    parts = [p for p in _SPLIT.split(_DIGITS.sub("", name)) if p]
+    return not SKIP_NAMES.isdisjoint(parts) and all(p in SKIP_NAMES or p in PLAIN_NAMES for p in parts)
+
+
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """The attributes of a tag from ``at`` on, where it ends, and whether it closes itself.
+
+    A quoted value that holds a > and is followed by anything but the end of an attribute
+    was never closed; it, and one without a second quote, goes on to white space or the next >.
+    Every step moves on, so a page is read in linear time whatever it holds.
+    """
+    out: dict[str, str] = {}
+    n = len(page)
+    while True:
+        m = _ATTRIBUTE.match(page, at)
+        if m is None:  # only white space and slashes are left before the tag's or the page's end
+            end = page.find(">", at)
+            return out, n if end < 0 else end + 1, "/" in page[at : n if end < 0 else end]
+        at, value = m.end(), ""
+        if m[2]:
+            quote = page[at : at + 1]
+            close = page.find(quote, at + 1) if quote in ("'", '"') else -1
+            if close >= 0 and page.find(">", at, close) >= 0 and not page[close + 1 : close + 2].strip(" \t\n\r\f/>") == "":
+                close = -1
+            if close >= 0:
+                value, at = page[at + 1 : close], close + 1
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        out.setdefault(m[1].lower(), value)
+
+
 def parse(page: str) -> Element:
     """A tree of the page; end tags may be missing, and markup may break off anywhere."""
     root = here = Element("", {}, None)
-    at, n = 0, len(page)
+    open_: Counter[str] = Counter()
+    at, text, n = 0, 0, len(page)
+
+    def leave(e: Element, to: Element) -> Element:
+        while e is not to:
+            open_[e.tag] -= 1
+            e = e.parent
+        return to
+
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            here.children.append(page[at:] if "<" not in page[at:] else re.sub(r"<[/!a-zA-Z][^>]*\Z", "", page[at:]))
+        start = page.find("<", at)
+        if start < 0:
             break
-        if m.start() > at:
-            here.children.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        nxt = page[start + 1 : start + 2]
+        closing = nxt == "/"
+        name = _NAME.match(page, start + 2 if closing else start + 1)
+        if name is None and nxt not in ("!", "?") and not closing:
+            at = start + 1  # a mere sign
+            continue
+        if start > text:
+            here.children.append(page[text:start])
+        if name is None:
+            end = page.find("-->", start + 4) + 2 if page.startswith("<!--", start) else page.find(">", start)
+            at = text = end + 1 if end > start else n
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name[0].lower()
+        attributes, at, alone = _attributes(page, name.end())
+        text = at
+        if closing:
+            if open_[tag] <= 0:
+                continue
             e = here
             while e.parent is not None and e.tag != tag:
-                if e.tag in ("body", "article", "main", "section", "div", "td", "th", "table", "ul", "ol") and tag not in BLOCK:
+                if e.tag in _BOUNDS and tag not in BLOCK:
                     e = root  # an inline end tag doesn't reach out of its block
                     break
                 e = e.parent
             if e.parent is not None:
-                here = e.parent
+                here = leave(here, e.parent)
             continue
-        if tag in BLOCK:
-            here = _close(here, {"p"}, _SCOPE | {"div", "article", "section", "td", "th", "li", "body", "blockquote"})
-        if tag in _ITEMS:
-            here = _close(here, _ITEMS[tag], _SCOPE)
-        element = Element(tag, {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[3])} if m[3].strip() else {}, here)
+        if tag in BLOCK and open_["p"] > 0:
+            here = leave(here, _close(here, {"p"}, _SCOPE | _BOUNDS | {"blockquote"}))
+        if tag in _ITEMS and any(open_[t] > 0 for t in _ITEMS[tag]):
+            here = leave(here, _close(here, _ITEMS[tag], _SCOPE))
+        element = Element(tag, attributes, here)
         here.children.append(element)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = text = end.end() if end else n
+        elif tag not in VOID and not alone and element.depth < DEEPEST:
             here = element
+            open_[tag] += 1
+    if text < n:
+        here.children.append(page[text:])
     return root
 
 
@@ -221,8 +298,8 @@ def host_of(url: str | None) -> str:
 def text_at(page: str, path: str | None) -> str:
     """The text of all containers at ``path`` in page order, of the page's own article if it has none there, or of the whole body."""
     root = parse(page)
-    best = article(root)
-    own = [e for e in unskipped(root) if e.tag in (*CONTAINERS, "td") and e.text > e.linked and e.path == path] if best else []
+    best, key = article(root), key_of(path)
+    own = [e for e in unskipped(root) if e.tag in (*CONTAINERS, "td") and e.text > e.linked and e.key == key] if best else []
     return "\n".join(text for e in own or [best or root] for text in blocks(e))
 
 
