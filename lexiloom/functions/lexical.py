@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,20 +66,27 @@ def stem_sql(word: str) -> str:
     return f"case {' '.join(cases)} else left({w}, length({w}) - 1) end"
 
 
-def stem(word: Column) -> Column:
-    """Lower-cased, hyphens at the ends removed, stemmed. Null stays null."""
-    w = F.regexp_replace(F.lower(word), "^-+|-+$", "")
+def _stemmed(w: Column) -> Column:
     out = F
     for a, b in IRREGULAR.items():
         out = out.when(w == a, b)
     out = out.when(F.length(w) <= 3, w)
     for end, new in ENDINGS:
         out = out.when(w.endswith(end) & (F.length(w) >= 4 + len(end) - len(new)), F.concat(F.left(w, F.length(w) - len(end)), F.lit(new)))
-    out = out.when(~w.endswith("s") | w.rlike("(ss|us|is|os|as)$"), w)
-    out = out.when(w.rlike("(ses|xes|zes|ches|shes)$"), F.left(w, F.length(w) - 2))
+    any_end = lambda *ends: reduce(or_, [w.endswith(e) for e in ends])
+    out = out.when(~w.endswith("s") | any_end("ss", "us", "is", "os", "as"), w)
+    out = out.when(any_end("ses", "xes", "zes", "ches", "shes"), F.left(w, F.length(w) - 2))
     return out.otherwise(F.left(w, F.length(w) - 1))
 
 
+def stem(word: Column) -> Column:
+    """Lower-cased, hyphens at the ends removed, stemmed. Null stays null.
+
+    The cleaned word is bound once: every branch names it, and inside a lambda nothing is shared.
+    """
+    return F.transform(F.array(F.btrim(F.lower(word), F.lit("-"))), _stemmed)[0]
+
+
 def identifier_words(name: Column) -> Column:
     """An identifier's words: cut at dots, underscores, primes and case changes, lower-cased."""
     spaced = F.regexp_replace(name, "[._']+", " ")
