@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -30,6 +31,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has each of its keys once and the number ``n`` of their rows.
+
+    Keys with over a thousandth of all those rows, of which there are under a thousand, are
+    broadcast, so that no task gets all rows of a frequent key; the others are shuffled.
+    Both sides are read several times: write them first.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot, cold = table.where(F.col(n) * 1000 > total), table.where(F.col(n) * 1000 <= total)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a :func:`materialise` result that no later plan reads."""
     jvm = df.sparkSession._jvm

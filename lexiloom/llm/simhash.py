@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, from_texts, materialise
+from .common import connected_components, from_texts, join_hot, materialise
 
 BITS, HALF, RADIUS, BUCKET = 64, 32, 4, 64
 
@@ -92,11 +92,13 @@ def components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     give repeated rows; an empty table gives an empty result; other columns are ignored.
     """
     fps = materialise(fingerprints(docs), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     group = connected_components(links(distinct.select("fp"), bucket))
-    of = distinct.join(group, distinct["fp"] == group["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = of.groupBy("component").agg(F.min("first").alias("component_id"))
-    return fps.join(of.join(least, "component").select("fp", "component_id"), "fp")
+    grouped = distinct.join(group, distinct["fp"] == group["node"], "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component"))
+    of = materialise(grouped, "members")
+    least = materialise(of.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("fps")), "components")
+    named = materialise(join_hot(of.select("fp", "n", "component"), least, ["component"], "fps").select("fp", "n", "component_id"), "named")
+    return join_hot(fps, named, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:

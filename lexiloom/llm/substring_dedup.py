@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, join_hot, materialise, release
 
 SHINGLE, SIMILARITY = 5, 0.8
 LINE_WORDS, PASSAGE_WORDS, ANCHOR = 20, 20, 17
@@ -40,7 +40,7 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _PLACED = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _BASE, _BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Paragraphs leave a worker in batches of about so many rows.
-_ROWS = 200_000
+_ROWS = 50_000
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -248,6 +248,7 @@ def similar_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     filed = classes.select("h", "n", F.explode("bands").alias("key"))
     sizes = filed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared = materialise(filed.join(sizes, "key"), "shared")
+    release(docs.sparkSession)
     mates = shared.groupBy("h").agg(F.sum("m").alias("mates"))
     pivots = shared.join(mates, "h").groupBy("key").agg(F.max(F.struct("mates", "n", "h")).alias("p")).select("key", F.col("p.h").alias("pivot"))
     met = materialise(shared.join(pivots, "key").select("pivot", "h").distinct(), "buckets")
@@ -264,22 +265,27 @@ def repeats(docs: DataFrame) -> DataFrame:
     have no rows; two rows of one id are one document; an empty table gives an empty
     result; other columns are ignored.
     """
+    spark = docs.sparkSession
     units = materialise(paragraphs(docs), "paragraphs")
     passages = units.where("bands is null").select("h", "g", "doc_id", "start")
-    twice = passages.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    lines = units.where("bands is not null")
-    classes = lines.groupBy("h", "g").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
-        F.min(F.struct("doc_id", "start", "words")).alias("at"), F.first("bands").alias("bands"),
-    )
-    # of two lines with one h and unequal g, the one with the smaller g is looked at; the other counts as unrepeated
-    classes = materialise(classes.groupBy("h").agg(F.min(F.struct("g", "n", "first", "last", "at", "bands")).alias("c")).select("h", "c.g", "c.n", "c.first", "c.last", "c.at.*", "c.bands"), "classes")
-    group = connected_components(similar_lines(docs, classes))
-    of = classes.join(group, classes["h"] == group["node"], "left").select("h", "g", "first", "last", F.coalesce("component", "h").alias("class_id"))
+    held = [F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")]
+    twice = materialise(passages.groupBy("h", "g").agg(*held).where("first < last").drop("last"), "passages")
+    release(spark)
+    lines = units.where("bands is not null").select("h", "g", "doc_id", "start", "words", "bands")
+    # lines with one h and unequal g, if there should be any, count as unrepeated
+    alike = lines.groupBy("h").agg(F.min("g").alias("g"), F.max("g").alias("g2"), *held, F.min(F.struct("doc_id", "start", "words")).alias("at"), F.first("bands").alias("bands"))
+    classes = materialise(alike.where("g = g2").select("h", "g", "n", "first", "last", "at.*", "bands"), "classes")
+    del alike
+    links = materialise(similar_lines(docs, classes), "links")
+    release(spark)
+    group = connected_components(links)
+    placed = classes.join(group, classes["h"] == group["node"], "left").where("component is not null or first < last")
+    of = materialise(placed.select("h", "g", "n", "first", "last", F.coalesce("component", "h").alias("class_id")), "members")
     spread = of.groupBy("class_id").agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most")
-    copied = of.join(spread, "class_id").select("h", "g", "class_id", F.col("least").alias("first"))
-    found = passages.join(twice, ["h", "g"]).select("doc_id", "start", F.lit(PASSAGE_WORDS).alias("words"), F.col("h").alias("class_id"), "first")
-    found = found.unionByName(lines.select("h", "g", "doc_id", "start", "words").join(copied, ["h", "g"]).select("doc_id", "start", "words", "class_id", "first"))
+    copied = materialise(of.join(spread, "class_id").select("h", "g", "n", "class_id", F.col("least").alias("first")), "copied")
+    release(spark)
+    found = join_hot(passages, twice, ["h", "g"], "n").select("doc_id", "start", F.lit(PASSAGE_WORDS).alias("words"), F.col("h").alias("class_id"), "first")
+    found = found.unionByName(join_hot(lines.drop("bands"), copied, ["h", "g"], "n").select("doc_id", "start", "words", "class_id", "first"))
     return found.select("doc_id", "start", "words", "class_id", (F.col("doc_id") == F.col("first")).alias("kept"))
 
 
@@ -323,7 +329,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     an id stay as they are. Columns of any name are fine.
     """
     schema = docs.schema
-    cuts = spans(repeats(docs)).where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "words")).alias("cut"))
+    cuts = materialise(spans(repeats(docs)).where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start", "words")).alias("cut")), "cuts")
+    release(docs.sparkSession)
     rows = docs.select(F.col("doc_id").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = rows.join(cuts, rows["id"] == cuts["doc_id"], "left").select("row", "cut")
 
