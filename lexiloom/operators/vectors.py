@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexical import prose_words
 
-#: A batch of queries is held as one matrix of at most so many numbers; more queries go in several batches.
+#: A task holds queries of at most so many numbers; more go in several blocks.
 QUERY_NUMBERS = 16_000_000
 
 
@@ -31,51 +31,74 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_numbers: int = QUERY_NUMBERS) -> DataFrame:
     """(query_id, id, score, rk): the ``k`` nearest by cosine of each query (query_id, vector) in the corpus (id, vector).
 
-    Queries go to the tasks in blocks of bounded size; each task scores its corpus
-    partition by matrix products and sends on its best ``k`` a query. Zero vectors and null
-    vectors score nothing. Equal scores (to 9 places) in the order of ids.
+    Queries of at most ``query_numbers`` numbers together are sent to all tasks, and the
+    corpus is scanned where it lies. More go in blocks, each to meet each chunk of the
+    corpus in a task of its own; nothing goes through the driver then. Either way a task
+    multiplies matrices and sends on its best ``k`` a query. Zero vectors and null vectors
+    score nothing. Equal scores (to 9 places) in the order of ids.
     """
-    q = queries.where("vector is not null")
-    dim = q.select(F.max(F.size("vector")).alias("d")).first()["d"] or 1
-    block = max(1, query_numbers // dim)
-    n = q.count()
-    numbered = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))))
-    found = None
-    for b in range(max(1, -(-n // block))):
-        rows = numbered.where(F.col("_b") == b).select("query_id", "vector").collect()  # a block: bounded by query_numbers
-        if rows:
-            part = _scan(corpus, np.array([r["query_id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64), k)
-            found = part if found is None else found.union(part)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], "query_id long, id long, score double")
+    asked, found_in = (d.where("vector is not null").select(F.col(i).cast("long").alias(i), F.col("vector").cast("array<double>").alias("vector")) for d, i in ((queries, "query_id"), (corpus, "id")))
+    shape = lambda d: d.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    q = shape(asked)
+    blocks = -(-q["n"] * (q["dim"] or 1) // query_numbers)
+    schema = "query_id long, id long, score double"
+    if blocks <= 1:
+        rows = asked.collect()  # at most query_numbers numbers
+        sent = corpus.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64)))
+
+        def scan(batches):
+            ids, vectors = sent.value
+            best = _Best(ids, vectors, k)
+            for b in batches:
+                best.add(b["id"].to_numpy(), b["vector"])
+            yield best.rows()
+
+        found = found_in.mapInPandas(scan, schema)
+    else:
+        chunks = max(1, -(-shape(found_in)["n"] * (q["dim"] or 1) // query_numbers))
+        part = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+        left = asked.withColumn("block", part("query_id", blocks)).withColumn("chunk", every(chunks))
+        right = found_in.withColumn("chunk", part("id", chunks)).withColumn("block", every(blocks))
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            best = _Best(a["query_id"].to_numpy(), np.array(a["vector"].tolist(), np.float64), k)
+            best.add(b["id"].to_numpy(), b["vector"])
+            return best.rows()
+
+        found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return found.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def _scan(corpus: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
-    norms = np.linalg.norm(vectors, axis=1)
-    ids, vectors = ids[norms > 0], vectors[norms > 0] / norms[norms > 0, None]
-    sent = corpus.sparkSession.sparkContext.broadcast((ids, vectors))
+class _Best:
+    """The best ``k`` of all that is added, for each query."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        norms = np.linalg.norm(vectors, axis=1) if len(ids) else np.zeros(0)
+        self.ids, self.k = ids[norms > 0], k
+        self.vectors = vectors[norms > 0] / norms[norms > 0, None]
+        self.row, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def run(batches):
-        query_ids, matrix = sent.value
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            if not len(query_ids) or not len(b):
-                continue
-            v = np.array(b["vector"].tolist(), np.float64)
+    def add(self, ids: np.ndarray, vectors: pd.Series, step: int = 4_096) -> None:
+        for a in range(0, len(ids) if len(self.ids) else 0, step):
+            v = np.array(vectors.iloc[a : a + step].tolist(), np.float64)
             size = np.linalg.norm(v, axis=1)
-            v, own = v[size > 0] / size[size > 0, None], b["id"].to_numpy()[size > 0]
-            scores = matrix @ v.T
-            for i, s in enumerate(scores):
-                have = best.get(i, (np.zeros(0, np.int64), np.zeros(0)))
-                who, s = np.concatenate([have[0], own]), np.concatenate([have[1], s])
-                order = np.lexsort((who, -np.round(s, 9)))[:k]
-                best[i] = who[order], s[order]
-        rows = [(int(query_ids[i]), int(w), float(s)) for i, (who, sc) in best.items() for w, s in zip(who, sc)]
-        yield pd.DataFrame(rows, columns=["query_id", "id", "score"])
-
-    return corpus.where("vector is not null").select("id", "vector").mapInPandas(run, "query_id long, id long, score double")
+            own = ids[a : a + step][size > 0]
+            scores = self.vectors @ (v[size > 0] / size[size > 0, None]).T
+            rounded = np.round(scores, 9)
+            if scores.shape[1] > self.k:  # of a query, nothing below its k-th best of this step can stay
+                row, column = np.nonzero(rounded >= -np.partition(-rounded, self.k - 1, axis=1)[:, self.k - 1 : self.k])
+            else:
+                row, column = np.indices(scores.shape).reshape(2, -1)
+            row, who, score = np.append(self.row, row), np.append(self.id, own[column]), np.append(self.score, scores[row, column])
+            order = np.lexsort((who, -np.round(score, 9), row))
+            row, who, score = row[order], who[order], score[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            self.row, self.id, self.score = (x[place < self.k] for x in (row, who, score))
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": self.ids[self.row], "id": self.id, "score": self.score})
 
 
 def fuse(rankings: list[DataFrame], k: float = 60.0) -> DataFrame:
