@@ -1,4 +1,4 @@
-"""Command line: scan, index, query, verify, graph, setup."""
+"""Command line: scan, index, elaborate, query, verify, graph, setup, bench, verify-bench."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from .sources import store
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lexiloom")
     sub = p.add_subparsers(dest="job", required=True)
-    for name, args in (("scan", ["source", "out"]), ("index", ["declarations", "out"]), ("setup", ["folder"]), ("query", ["index", "text"]), ("verify", ["index", "text", "proposal"]), ("graph", ["tex"])):
+    for name, args in (("scan", ["source", "out"]), ("index", ["declarations", "out"]), ("setup", ["folder"]), ("query", ["index", "text"]), ("verify", ["index", "text", "proposal"]), ("graph", ["tex"]), ("elaborate", ["dump", "source", "out"]), ("bench", ["index", "tex"]), ("verify-bench", ["index", "tex"])):
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a, nargs="+" if a == "tex" else None)
@@ -35,7 +35,12 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--profile", choices=["precise", "balanced", "permissive"], default="permissive")
         if name == "graph":
             s.add_argument("--dot", action="store_true")
-            s.add_argument("--index")
+            s.add_argument("--json", metavar="FOLDER", help="write nodes, edges and the rest there as JSON lines")
+            s.add_argument("--no-align", action="store_true")
+            s.add_argument("--index", "--corpus", dest="index")
+        if name == "verify-bench":
+            s.add_argument("--seed", type=int, default=0)
+            s.add_argument("--patterns", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("lexiloom").getOrCreate()
     say = lambda x: print(json.dumps(x, ensure_ascii=False, indent=2))
@@ -46,9 +51,20 @@ def main(argv: list[str] | None = None) -> int:
         say(spark.read.json(f"{a.out}/meta").first().asDict(recursive=True))
     elif a.job == "setup":
         say(engine.setup(spark, dict(s.split("=", 1) for s in a.source), a.folder))
+    elif a.job == "elaborate":
+        engine.elaborate(spark, a.dump, a.source, a.out)
+        say(spark.read.json(f"{a.out}/meta").first().asDict(recursive=True))
     elif a.job == "graph":
-        g = engine.draw(spark, a.tex, store.load(spark, a.index) if a.index else None)
-        print(to_dot(g) if a.dot else "\n".join(r["json"] for r in to_json(g).collect()))
+        aligned = bool(a.index) and not a.no_align
+        g = engine.draw(spark, a.tex, store.load(spark, a.index) if aligned else None)
+        if a.json:
+            to_json(g).write.mode("overwrite").partitionBy("kind").text(a.json)
+        if a.dot or not a.json:
+            print(to_dot(g, aligned) if a.dot else "\n".join(r["json"] for r in to_json(g).collect()))
+    elif a.job in ("bench", "verify-bench"):
+        said, lex = engine.annotated(spark, a.tex), store.load(spark, a.index)
+        rows = engine.bench(said, lex) if a.job == "bench" else engine.verify_bench(said, lex, a.seed, a.patterns)
+        say([r.asDict(recursive=True) for r in rows.collect()])
     else:
         asked = spark.createDataFrame([(0, a.text, a.title, a.math, getattr(a, "proposal", ""))], "query_id long, text string, title string, math array<string>, proposal string")
         lex = store.load(spark, a.index)

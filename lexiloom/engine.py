@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import PROFILES, Reranking, Retrieval
 from .functions import formula
-from .operators import audit, calibrate, graph, lexicon, retrieve, structure, twins
+from .operators import audit, calibrate, graph, lexicon, relational, retrieve, structure, twins
 from .sources import latex, lean, store
 
 
@@ -87,5 +87,38 @@ def measure_verifier(statements: DataFrame, gold: DataFrame, lex: lexicon.Lexico
     return audit.acceptance(verdicts)
 
 
+def annotated(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Statements of a paper that name their declarations, of five words or more: query_id, text, title, math, targets."""
+    blocks = latex.read_paper(spark, paths)
+    said = blocks.where((F.size("declared_lean") > 0) & (F.col("kind") != "proof") & (F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) >= 5))
+    return said.select(F.concat_ws("|", "path", "id").alias("query_id"), "text", "title", "math", F.col("declared_lean").alias("targets"))
+
+
+def _gold(statements: DataFrame, lex: lexicon.Lexicon) -> DataFrame:
+    """(query_id, name): the first target that the library has."""
+    return relational.first_known(statements, "query_id", "targets", lex.rows.select("name").distinct(), "name")
+
+
+def bench(statements: DataFrame, lex: lexicon.Lexicon) -> DataFrame:
+    """Recall of annotated statements whose declarations the library has, without and with reranking by structure: ranking, n, recall_1, recall_5."""
+    gold = statements.select("query_id", F.explode("targets").alias("name")).join(lex.rows.select("name").distinct(), "name", "left_semi")
+    asked = statements.join(gold.select("query_id").distinct(), "query_id", "left_semi")
+    rows = [measure(asked, gold, lex, kind).select(F.lit(name).alias("ranking"), "n", F.round("recall_1", 3).alias("recall_1"), F.round("recall_5", 3).alias("recall_5")) for name, kind in (("lexical", "none"), ("+structural", "struct"))]
+    return rows[0].union(rows[1])
+
+
+def verify_bench(statements: DataFrame, lex: lexicon.Lexicon, seed: int = 0, patterns: bool = False) -> DataFrame:
+    """Acceptance of proposals of five kinds for annotated statements, by profile and population; formulas count only with ``patterns``."""
+    gold = _gold(statements, lex)
+    asked = statements if patterns else statements.withColumn("math", F.array().cast("array<string>"))
+    rows = [measure_verifier(asked.select("query_id", "text", "title", "math"), gold, lex, profile, seed).select(F.lit(profile).alias("profile"), "*") for profile in ("permissive", "precise")]
+    return rows[0].union(rows[1])
+
+
+def elaborate(spark: SparkSession, dump: str, source: str, path: str) -> lexicon.Lexicon:
+    """The index of a dump of elaborated declarations, with the docstrings of its source tree; making the dump is the prover's own work."""
+    return build_index(spark, lean.carry_docs(lean.read_dump(spark, dump), lean.scan_tree(spark, source)), path)
+
+
 def graph_retrieval(retrieval: Retrieval, tau: float, delta: float) -> Retrieval:
     return replace(retrieval, coverage=tau, margin=delta)

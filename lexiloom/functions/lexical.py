@@ -135,3 +135,20 @@ def identifier_words_sql(name: str) -> str:
     s = f"regexp_replace({s}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
     s = f"regexp_replace({s}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
     return f"list_filter(string_split_regex(regexp_replace(lower({s}), '[^a-z0-9 ]', '', 'g'), ' +'), lambda w: w <> '')"
+
+
+def draw(*parts: Column | str) -> Column:
+    """A reproducible number below 2^60 of the texts of the parts, which SQL engines give alike."""
+    text = F.concat_ws("|", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def draw_sql(*parts: str) -> str:
+    """DuckDB SQL for :func:`draw` of SQL expressions."""
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::bigint"
+
+
+def head_words_sql(head: str) -> str:
+    """DuckDB SQL for :func:`head_words` of a scraped head."""
+    found = f"list_filter(regexp_extract_all(string_split({head}, ':=')[1], '[A-Za-z][A-Za-z0-9_'']*'), lambda w: length(w) > 1 and w not in ({_quoted(HEAD_SYNTAX)}) and not regexp_matches(w, '^u_?[0-9]+$'))"
+    return f"flatten(list_transform({found}, lambda w: {identifier_words_sql('w')}))"

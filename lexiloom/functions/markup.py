@@ -33,15 +33,36 @@ def formulas(text: Column) -> Column:
     return F.filter(F.transform(found, lambda m: F.regexp_replace(m, r"^\s+|\s+$", "")), lambda m: m != "")
 
 
+# What becomes of mark-up in running text, in this order, after formulas.
+CLEANED = (
+    (LABEL, " "), (CITATION, " "), (REFERENCE, " REF "), (USES, " "), (DECLARED, " "), (STYLED, "$1"), (r"\\[a-zA-Z@]+\*?", " "), (r"[{}~\\]", " "), (r"\s+", " "),
+)
+
+
 def prose(text: Column) -> Column:
     """Running text: formulas become MATH, references REF, other mark-up goes."""
-    for p in FORMULAS:
-        text = F.regexp_replace(text, p, " MATH ")
-    for p, new in ((LABEL, " "), (CITATION, " "), (REFERENCE, " REF "), (USES, " "), (DECLARED, " "), (STYLED, "$1"), (r"\\[a-zA-Z@]+\*?", " "), (r"[{}~\\]", " "), (r"\s+", " ")):
+    for p, new in (*((f, " MATH ") for f in FORMULAS), *CLEANED):
         text = F.regexp_replace(text, p, new)
     return F.trim(text)
 
 
+def _pattern_sql(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+def prose_sql(text: str) -> str:
+    """DuckDB SQL for :func:`prose`."""
+    for p, new in (*((f, " MATH ") for f in FORMULAS), *CLEANED):
+        text = f"regexp_replace({text}, {_pattern_sql(p)}, '{new.replace('$1', chr(92) + '1')}', 'g')"
+    return f"trim({text}, ' ')"
+
+
+def formulas_sql(text: str) -> str:
+    """DuckDB SQL for :func:`formulas`."""
+    found = ", ".join(f"regexp_extract_all({text}, {_pattern_sql(p)}, 1)" for p in FORMULAS)
+    return f"list_filter(list_transform(flatten([{found}]), lambda m: regexp_replace(m, '^\\s+|\\s+$', '', 'g')), lambda m: m <> '')"
+
+
 def names_in(text: Column, macro: str) -> Column:
     """Sorted distinct names in a macro's comma-separated arguments, none empty."""
     parts = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(macro), 1), lambda g: F.split(g, ",")))
@@ -82,3 +103,15 @@ def symbol_bag(segments: Column) -> Column:
         return F.filter(F.concat(named, signs, applied), lambda c: c.isNotNull() & F.length(c).between(1, 12))
 
     return F.transform(F.flatten(F.transform(segments, one)), lambda c: F.concat(F.lit("m:"), c))
+
+
+def symbol_bag_sql(segments: str) -> str:
+    """DuckDB SQL for :func:`symbol_bag` of a list of segments."""
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+    concept = f"map([{listed(COMMANDS)}], [{listed(COMMANDS.values())}])"
+    commands = f"list_filter(regexp_extract_all(g, '\\\\([a-zA-Z]+)', 1), lambda c: c not in ({listed(TYPESETTING)}))"
+    named = f"list_transform({commands}, lambda c: coalesce({concept}[c], lower(regexp_replace(c, '^(?:{'|'.join(FONTS)})(.)', '\\1'))))"
+    rest = "regexp_replace(g, '\\\\[a-zA-Z]+', ' ', 'g')"
+    signs = ", ".join(f"case when contains({rest}, '{sign}') then '{name}' end" for sign, name in SIGNS.items())
+    one = f"list_filter(list_concat({named}, [{signs}], [case when contains(g, '[') and contains(g, ']') then 'apply' end]), lambda c: c is not null and length(c) between 1 and 12)"
+    return f"list_transform(flatten(list_transform({segments}, lambda g: {one})), lambda c: 'm:' || c)"

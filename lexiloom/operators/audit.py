@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Retrieval, Verification
+from ..functions.lexical import draw, draw_sql
 from .lexicon import Lexicon
 from .relational import tail
 from .retrieve import query_weights, ranked, scores
 
 
+#: Random proposals are looked for among the names of one of so many slices.
+SLICES = 64
+
+
 def support(pairs: DataFrame, weights: DataFrame, lexicon: Lexicon, c: Verification = Verification()) -> DataFrame:
     """(query_id, decl_id, evidence): the share of a query's weight that a declaration's name and, discounted, its module carry."""
     w = weights.join(lexicon.idf.select("token", "idf"), "token").select("query_id", "token", (F.col("weight") * F.col("idf")).alias("worth"))
@@ -33,8 +38,8 @@ def verify(proposals: DataFrame, lexicon: Lexicon, c: Verification = Verificatio
     ids = lexicon.rows.groupBy("name").agg(F.max("decl_id").alias("decl_id"))
     placed = p.select("query_id", "proposal").distinct().join(ids.withColumnRenamed("name", "proposal"), "proposal", "left")
     queries = p.select("query_id", "text", "title").dropDuplicates(["query_id"])
-    weights = query_weights(queries, lexicon, r).persist()  # read by scores and by support
-    rivals = ranked(scores(weights, lexicon, r), c.rivals).select("query_id", "decl_id", "rk").persist()
+    weights = query_weights(queries, lexicon, r)
+    rivals = ranked(scores(weights, lexicon, r), c.rivals).select("query_id", "decl_id", "rk")
     found = support(placed.where("decl_id is not null").select("query_id", "decl_id").union(rivals.select("query_id", "decl_id")), weights, lexicon, c)
     own = placed.join(found, ["query_id", "decl_id"], "left")
     names = lexicon.rows.select("decl_id", "name")
@@ -71,12 +76,13 @@ def corrupted(gold: DataFrame, library: DataFrame, seed: int = 0) -> DataFrame:
     from the namespace of the one and the words of another. A choice is the name nearest
     to a hashed point of the group, so groups are never paired up.
     """
-    slice_of = lambda *x: F.pmod(F.xxhash64(*x), F.lit(64)).cast("string")
-    lib = library.groupBy("name").agg(F.min("module").alias("module")).select("name", "module", tail(F.col("name")).alias("tail"), slice_of("name").alias("any"))
+    seed_ = F.lit(seed)
+    slice_of = lambda *x: (draw(*x) % SLICES).cast("string")
+    lib = library.groupBy("name").agg(F.min("module").alias("module")).select("name", "module", tail(F.col("name")).alias("tail"), slice_of(F.col("name")).alias("any"))
 
     def chosen(asking: DataFrame, group: str, salt: str) -> DataFrame:
         member = F.when(F.col("query_id").isNull(), F.col("name"))
-        point = F.when(F.col("query_id").isNull(), F.xxhash64("name")).otherwise(F.xxhash64(F.lit(f"{salt}{seed}"), "query_id"))
+        point = F.when(F.col("query_id").isNull(), draw(F.col("name"))).otherwise(draw(f"{salt}{seed}", F.col("query_id")))
         asks = asking.select("query_id", "name", F.col(group).alias("g"))
         members = lib.select(F.lit(None).cast(asks.schema["query_id"].dataType).alias("query_id"), "name", F.col(group).alias("g"))
         both = members.union(asks).where("g is not null").withColumn("h", point)
@@ -86,7 +92,7 @@ def corrupted(gold: DataFrame, library: DataFrame, seed: int = 0) -> DataFrame:
         unlike = F.coalesce(*[F.when(F.col(x) != F.col("name"), F.col(x)) for x in ("after", "before", "first", "final")])
         return near.join(ends, "g").select("query_id", unlike.alias("proposal")).where("proposal is not null")
 
-    pairs = gold.select("query_id", "name").join(lib.drop("any"), "name", "left").withColumn("any", slice_of(F.lit(seed), "query_id"))
+    pairs = gold.select("query_id", "name").join(lib.drop("any"), "name", "left").withColumn("any", slice_of(seed_, F.col("query_id")))
     sibling, homonym, random = chosen(pairs, "module", "sibling"), chosen(pairs, "tail", "tail"), chosen(pairs, "any", "random")
     donor = random.select("query_id", F.col("proposal").alias("donor"))
     parts = F.split("name", r"\.")
@@ -99,6 +105,24 @@ def corrupted(gold: DataFrame, library: DataFrame, seed: int = 0) -> DataFrame:
     return out[0].union(out[1]).union(out[2]).union(out[3]).union(out[4])
 
 
+def corrupted_sql(gold: str, library: str, seed: int = 0) -> str:
+    """DuckDB SQL for :func:`corrupted` of two queries in parentheses."""
+
+    def chosen(group: str, salt: str) -> str:
+        h, point = draw_sql("l.name"), draw_sql(f"'{salt}{seed}'", "p.query_id")
+        near = f"arg_min(l.name, {h}) filter (where {h} >= {point}) as a, arg_max(l.name, {h}) filter (where {h} <= {point}) as b, arg_min(l.name, {h}) as c, arg_max(l.name, {h}) as d"
+        return f"(select query_id, coalesce({', '.join(f'case when {x} <> name then {x} end' for x in 'abcd')}) as proposal from (select p.query_id, p.name, {near} from pairs p join lib l on l.{group} = p.{group} group by 1, 2))"
+
+    last = lambda x, by: f"string_split({x}, '{by}')[-1]"
+    return f"""
+lib as materialized (select name, min(module) as module, {last('name', '.')} as tail, {draw_sql('name')} % {SLICES} as slice from {library} group by 1),
+pairs as materialized (select g.query_id, g.name, l.module, l.tail, {draw_sql(str(seed), 'g.query_id')} % {SLICES} as slice from {gold} g left join lib l using (name)),
+rand as materialized (select * from {chosen('slice', 'random')}),
+made as (select p.query_id, array_to_string(list_append(string_split(p.name, '.')[:-2], {last('r.proposal', '.')} || '_' || {last(last('p.name', '.'), '_')}), '.') as proposal from pairs p join rand r using (query_id) where r.proposal is not null),
+corrupted as (select query_id, 'correct' as population, name as proposal from pairs union all select query_id, 'sibling', proposal from {chosen('module', 'sibling')} union all select query_id, 'wrong_namespace', proposal from {chosen('tail', 'tail')}
+  union all select query_id, 'random', proposal from rand union all select query_id, 'hallucinated', case when proposal in (select name from lib) then proposal || chr(39) else proposal end from made)"""
+
+
 def acceptance(verdicts: DataFrame) -> DataFrame:
     """By population: n, accept_rate, caught_nonexistent, pattern_fire_rate, of verdicts with a population."""
     fired = F.exists("reasons", lambda r: F.startswith(r, F.lit("formula pattern match")))

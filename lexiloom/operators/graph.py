@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .retrieve import align
+from .retrieve import CANDIDATES, align
 
 CLAIMS = ("theorem", "definition")
+# The colours and the lines of a Graphviz file.
 FILLS = {"matched": "#cfe8d5", "ambiguous": "#fdf0c8", "unmatched": "#f6d7d7"}
 
 
@@ -32,7 +33,10 @@ def resolve(refs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def build(blocks: DataFrame, lexicon=None, retrieval=None, top: int = 5) -> Graph:
-    """The graph of parsed blocks; claims of four or more words are aligned if a lexicon is given."""
+    """The graph of the parsed blocks of one paper; claims of four or more words are aligned if a lexicon is given.
+
+    Ids are a paper's own labels: give each paper a graph of its own, as two may use one label.
+    """
     authored = {"declared_lean": "authored_lean", "lean_ok": "formalized"}
     nodes = blocks.select("id", "kind", "env", "title", "section", "line", "text", *[F.col(a).alias(b) for a, b in authored.items()], "ord")
     if lexicon is not None:
@@ -43,7 +47,7 @@ def build(blocks: DataFrame, lexicon=None, retrieval=None, top: int = 5) -> Grap
         found = align(queries, lexicon, retrieval or GRAPH, top)
         nodes = nodes.join(found.withColumnRenamed("query_id", "id"), "id", "left")
     else:
-        nodes = nodes.withColumns({"status": F.lit(None).cast("string"), "coverage": F.lit(None).cast("double"), "margin": F.lit(None).cast("double"), "candidates": F.lit(None).cast("array<struct<rk:int,decl_id:bigint,score:double>>")})
+        nodes = nodes.withColumns({"status": F.lit(None).cast("string"), "coverage": F.lit(None).cast("double"), "margin": F.lit(None).cast("double"), "candidates": F.lit(None).cast(CANDIDATES)})
     said = blocks.select(F.col("id").alias("src"), F.explode(F.concat(F.transform("uses", lambda u: F.struct(u.alias("dst"), F.lit("uses").alias("source"))), F.transform("refs", lambda u: F.struct(u.alias("dst"), F.lit("ref").alias("source"))))).alias("r")).select("src", "r.dst", "r.source")
     inside, outside = resolve(labelled_references(said), blocks)
     proves = blocks.where("proof_of <> ''").select(F.col("id").alias("src"), F.col("proof_of").alias("dst"), F.lit("proves").alias("type"), F.lit(None).cast("string").alias("source"))
@@ -60,7 +64,7 @@ def summary(g: Graph) -> DataFrame:
     return n.crossJoin(e).crossJoin(d).crossJoin(status)  # four single rows
 
 
-def dot_lines(g: Graph, library: DataFrame | None = None) -> DataFrame:
+def dot_lines(g: Graph, aligned: bool = False) -> DataFrame:
     """(part, key, line): the lines of a Graphviz file in the order of part and key; proofs are hidden."""
     shown = g.nodes.where("kind <> 'proof'")
     quoted = lambda c, n: F.left(F.replace(c, F.lit('"'), F.lit("'")), F.lit(n))
@@ -68,16 +72,16 @@ def dot_lines(g: Graph, library: DataFrame | None = None) -> DataFrame:
     label = quoted(F.coalesce(F.nullif("title", F.lit("")), "id"), 44)
     out = shown.select(F.lit(1).alias("part"), F.concat_ws("|", F.format_string("%09d", "ord"), "id").alias("key"), F.format_string('  "%s" [label="%s", style="rounded,filled", fillcolor="%s"];', "id", label, fill).alias("line"))
     out = out.union(g.edges.where("type <> 'proves'").select(F.lit(2), F.concat_ws("|", "src", "dst"), F.format_string('  "%s" -> "%s";', "src", "dst")))
-    if library is not None:
-        best = shown.where("status = 'matched'").select("id", F.col("candidates")[0]["decl_id"].alias("decl_id")).join(library.select("decl_id", "name"), "decl_id")
+    if aligned:
+        best = shown.where("status = 'matched'").select("id", F.col("candidates")[0]["name"].alias("name"))
         out = out.union(best.select(F.lit(3), F.col("name"), F.format_string('  "lib::%s" [label="%s", shape=note, style=filled, fillcolor="#dde6f5"];', "name", F.left("name", F.lit(46)))).distinct())
         out = out.union(best.select(F.lit(4), F.col("id"), F.format_string('  "%s" -> "lib::%s" [style=dashed, color="#7a8ba8", label="aligns"];', "id", "name")))
     return out
 
 
-def to_dot(g: Graph, library: DataFrame | None = None) -> str:
+def to_dot(g: Graph, aligned: bool = False) -> str:
     """A Graphviz file; a paper's graph is small, so its lines meet on the driver."""
-    lines = [r["line"] for r in dot_lines(g, library).orderBy("part", "key").collect()]
+    lines = [r["line"] for r in dot_lines(g, aligned).orderBy("part", "key").collect()]
     return "\n".join(["digraph paper {", "  rankdir=BT;", '  node [shape=box, style=rounded, fontname="Helvetica", fontsize=10];', *lines, "}"])
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexical import head_words, identifier_words, module_words, prose_words
+from ..functions.lexical import draw, head_words, identifier_words, module_words, prose_words
 
 
 def with_words(declarations: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ class Lexicon:
 
 def split(rows: DataFrame, share: float, salt: str) -> Column:
     """Whether a row falls into a reproducible share of all rows, by the hash of its id."""
-    return F.pmod(F.xxhash64(F.lit(salt), "decl_id"), F.lit(1_000_000)) < int(share * 1_000_000)
+    return draw(salt, F.col("decl_id")) % 1_000_000 < int(share * 1_000_000)
 
 
 def build(rows: DataFrame, pivot: float = 0.75, holdout: float = 0.0, unlearned: float = 0.0) -> tuple[Lexicon, DataFrame, DataFrame]:

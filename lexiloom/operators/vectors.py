@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexical import prose_words
+from ..functions.lexical import draw, draw_sql, prose_words
+
+SPACES = "[\\x09-\\x0D ]+"
 
 #: A task holds queries of at most so many numbers; more go in several blocks.
 QUERY_NUMBERS = 16_000_000
@@ -273,14 +275,23 @@ def training_pairs(pairs: DataFrame, bound: int = 200_000) -> list[tuple[list[st
 
 def shortened(text: Column, key: Column, keep: float = 0.5, cap: int = 16, seed: int = 0) -> Column:
     """Some of a text's words, each kept or not by its hash, three at least and ``cap`` at most; texts of up to four words stay."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    draw = lambda w, i: F.pmod(F.xxhash64(F.lit(seed), key, i), F.lit(1_000_000))
-    kept = F.filter(words, lambda w, i: draw(w, i) < int(keep * 1_000_000))
-    placed = F.transform(words, lambda w, i: F.struct(draw(w, i).alias("d"), i.alias("i"), w.alias("w")))
+    words = F.filter(F.split(text, SPACES), lambda w: w != "")
+    drawn = lambda i: draw(F.lit(seed), key, i) % 1_000_000
+    kept = F.filter(words, lambda w, i: drawn(i) < int(keep * 1_000_000))
+    placed = F.transform(words, lambda w, i: F.struct(drawn(i).alias("d"), i.alias("i"), w.alias("w")))
     three = F.transform(F.slice(F.array_sort(placed), 1, 3), lambda x: x["w"])
     return F.when(F.size(words) <= 4, text).otherwise(F.array_join(F.slice(F.when(F.size(kept) < 3, three).otherwise(kept), 1, cap), " "))
 
 
+def shortened_sql(text: str, key: str, keep: float = 0.5, cap: int = 16, seed: int = 0) -> str:
+    """DuckDB SQL for :func:`shortened`."""
+    words = f"list_filter(regexp_split_to_array({text}, '{SPACES}'), lambda w: w <> '')"
+    drawn = draw_sql(str(seed), key, "i - 1") + " % 1000000"
+    kept = f"list_filter({words}, lambda w, i: {drawn} < {int(keep * 1_000_000)})"
+    three = f"list_transform(list_sort(list_transform({words}, lambda w, i: {{'d': {drawn}, 'i': i, 'w': w}}))[1:3], lambda x: x.w)"
+    return f"case when len({words}) <= 4 then {text} else array_to_string((case when len({kept}) < 3 then {three} else {kept} end)[1:{cap}], ' ') end"
+
+
 def adapt(documented: DataFrame, pairs: DataFrame, excluded_prefix: str, dim: int = 192, epochs: tuple[int, int] = (10, 6), upsample: int = 25, copies: int = 2, bound: int = 200_000, seed: int = 0) -> DualEncoder:
     """An encoder trained on docstrings (id, doc, module, tokens) and then on a mixture with labelled pairs (id, text, tokens).
 

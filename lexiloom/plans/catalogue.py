@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Reranking, Retrieval, Verification
 from ..functions import formula, lexical, markup
-from ..operators import audit, calibrate, graph, lexicon, relational, retrieve, structure, twins, vectors
+from ..operators import arms, audit, calibrate, graph, lexicon, relational, retrieve, structure, twins, vectors
 from ..sources import latex, lean, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,13 +95,15 @@ def library(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("decl_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.col("source").alias("module"), words.alias("tokens"), one("source").alias("mod_tokens"), one("lang").alias("typ_tokens"))
 
 
-def lexicon_of(spark: SparkSession, d: str) -> lexicon.Lexicon:
-    """Its tables, persisted: every stage of a query reads them several times."""
-    rows = library(spark, d).persist()
-    posted = lexicon.postings(rows).persist()
-    idf = lexicon.inverse_frequency(lexicon.document_frequency(rows, "tokens", "mod_tokens", "typ_tokens"), rows).join(lexicon.posting_sizes(posted), "token", "left").fillna(0, ["n_name", "n_mod", "n_typ"]).persist()
-    table_ = lexicon.translation_table(rows, F.col("tokens"), F.array_union("mod_tokens", "typ_tokens")).persist()
-    return lexicon.Lexicon(rows, idf, posted, lexicon.length_norms(rows, idf, SETTINGS.length_pivot).persist(), table_)
+def lexicon_of(spark: SparkSession, d: str, keep: str = "true") -> lexicon.Lexicon:
+    """The lexicon of the documents that ``keep`` holds for, built once a session; later queries read its tables."""
+    saved = lambda name, build: store.once(spark, f"{d}|{keep}|{name}", build)
+    rows = saved("rows", lambda: library(spark, d).where(keep))
+    posted = saved("postings", lambda: lexicon.postings(rows))
+    idf = saved("idf", lambda: lexicon.inverse_frequency(lexicon.document_frequency(rows, "tokens", "mod_tokens", "typ_tokens"), rows).join(lexicon.posting_sizes(posted), "token", "left").fillna(0, ["n_name", "n_mod", "n_typ"]))
+    norms = saved("norms", lambda: lexicon.length_norms(rows, idf, SETTINGS.length_pivot))
+    learned = saved("translations", lambda: lexicon.translation_table(rows, F.col("tokens"), F.array_union("mod_tokens", "typ_tokens")))
+    return lexicon.Lexicon(rows, idf, posted, norms, learned)
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -129,13 +131,18 @@ def prose_words_per_doc(spark, d):
     return w.select("doc_id", F.size("ws").cast("long").alias("n_words"), F.size(F.array_distinct("ws")).cast("long").alias("n_distinct"), F.get("ws", F.lit(0)).alias("first_word"))
 
 
-HEADS = [(1, "theorem isClosed [T2Space X] {s : Set X} (hs : IsCompact s) : IsClosed s := by simp", False), (2, "def g : Nat := Foo.bar", False), (3, "theorem x : { toConfig := u_1 } = Foo.bar", True), (4, "", False)]
+HEAD_SQL = "concat('theorem ', replace(p_name, ' ', '_'), ' [T2Space u_1] {x : ', p_type, '} (hs : Is', replace(p_brand, '#', '_'), ' x) : isFoo', p_size, ' ', p_name, ' := by simp')"
 
 
-@query("select * from (values (1, 'is closed t2 space set hs is compact is closed'), (2, 'nat'), (3, 'to config foo bar'), (4, '')) t(id, words)")
-def type_words_inline(spark, d):
-    heads = spark.createDataFrame(HEADS, "id int, head string, elaborated boolean")
-    return heads.select("id", F.array_join(lexical.head_words(F.col("head"), F.col("elaborated")), " ").alias("words"))
+def part_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as declaration heads."""
+    text = F.concat(F.lit("theorem "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" [T2Space u_1] {x : "), "p_type", F.lit("} (hs : Is"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(" x) : isFoo"), F.col("p_size").cast("string"), F.lit(" "), "p_name", F.lit(" := by simp"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("head"))
+
+
+@query(f"select p_partkey as id, array_to_string({lexical.head_words_sql(HEAD_SQL)}, ' ') as words from part")
+def type_words(spark, d):
+    return part_heads(spark, d).select("id", F.array_join(lexical.head_words(F.col("head")), " ").alias("words"))
 
 
 # --- lexicon
@@ -164,13 +171,15 @@ def field_disjoint_postings(spark, d):
 
 @query(f"with {LIB} select decl_id, round(len, 6) as len, round(lennorm, 6) as lennorm from norms")
 def doc_length_norm(spark, d):
-    lex = lexicon_of(spark, d)
-    return lex.norms.select("decl_id", six("len").alias("len"), six("lennorm").alias("lennorm"))
+    rows = library(spark, d)
+    idf = lexicon.inverse_frequency(lexicon.document_frequency(rows, "tokens", "mod_tokens", "typ_tokens"), rows)
+    return lexicon.length_norms(rows, idf, SETTINGS.length_pivot).select("decl_id", six("len").alias("len"), six("lennorm").alias("lennorm"))
 
 
 @query(f"with {LIB}, {PMI} select word, token, round(weight, 6) as weight, rk from trans")
 def pmi_translation(spark, d):
-    return lexicon_of(spark, d).translations.select("word", "token", six("weight").alias("weight"), "rk")
+    learned = lexicon.translation_table(library(spark, d), F.col("tokens"), F.array_union("mod_tokens", "typ_tokens"))
+    return learned.select("word", "token", six("weight").alias("weight"), "rk")
 
 
 @query(f"with {LIB} select token, n_name, n_mod, n_typ from admitted")
@@ -213,7 +222,7 @@ def direct_tokens(spark, d):
 @query(f"with {LIB}, {PMI}, {ASKED}, {SCORED} select query_id, decl_id, rk, round(score, 6) as score from ranked where rk <= 10")
 def sparse_score_topk(spark, d):
     lex = lexicon_of(spark, d)
-    top = retrieve.ranked(retrieve.scores(retrieve.query_weights(asked(spark, d), lex).persist(), lex), 10)
+    top = retrieve.ranked(retrieve.scores(retrieve.query_weights(asked(spark, d), lex), lex), 10)
     return top.select("query_id", "decl_id", "rk", six("score").alias("score"))
 
 
@@ -224,21 +233,22 @@ al as (select query_id, max(case when rk = 1 then raw / mass end) as coverage, c
 
 @query(
     f"with {LIB}, {PMI}, {ASKED}, {SCORED}, {ALIGNED} select b.item_id as query_id, case when coalesce(coverage, 0) < {SETTINGS.coverage} then 'unmatched' when margin < {SETTINGS.margin} then 'ambiguous' else 'matched' end as status, "
-    "round(coalesce(coverage, 0), 6) as coverage, round(coalesce(margin, 0), 6) as margin, best from benchmark b left join al on al.query_id = b.item_id"
+    "round(coalesce(coverage, 0), 6) as coverage, round(coalesce(margin, 0), 6) as margin, best from (select item_id from benchmark union all values (-1), (-2)) b left join al on al.query_id = b.item_id"
 )
 def align_status(spark, d):
-    out = retrieve.align(asked(spark, d), lexicon_of(spark, d))
+    empty = spark.createDataFrame([(-1, "", None), (-2, "there is the theorem that shows", None)], "query_id long, text string, title string")
+    out = retrieve.align(asked(spark, d).unionByName(empty), lexicon_of(spark, d))
     return out.select("query_id", "status", six("coverage").alias("coverage"), six("margin").alias("margin"), F.get("candidates", F.lit(0))["decl_id"].alias("best"))
 
 
-VECTORS = [(1, [1.0]), (2, [1.0, 1.0] + [0.1] * 8), (3, [1.0] * 9), (4, [1.0] + [0.5] * 9 + [0.9] * 5)]
-
-
-@query("select * from (values (1, 1.0::double), (2, 0.8::double), (3, 0.0::double), (4, 0.5::double)) t(query_id, margin)")
+@query("with s as (select l_orderkey, l_quantity as x, row_number() over (partition by l_orderkey order by l_quantity desc, l_linenumber) as rk from lineitem) select l_orderkey, round(coalesce((max(case when rk = 1 then x end) - avg(case when rk between 2 and 10 then x end)) / max(case when rk = 1 then x end), 1.0), 6) as margin from s group by 1")
 def separation_statistic(spark, d):
-    v = spark.createDataFrame(VECTORS, "query_id int, s array<double>").select("query_id", F.posexplode("s").alias("i", "x"))
-    g = v.groupBy("query_id").agg(F.max(F.when(F.col("i") == 0, F.col("x"))).alias("top"), F.avg(F.when(F.col("i").between(1, 9), F.col("x"))).alias("tail"))
-    return g.select("query_id", six(retrieve.separation(F.col("top"), F.col("tail"))).alias("margin"))
+    from pyspark.sql import Window
+
+    rk = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber"))
+    s = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("x"), rk.alias("rk"))
+    g = s.groupBy("l_orderkey").agg(F.max(F.when(F.col("rk") == 1, F.col("x"))).alias("top"), F.avg(F.when(F.col("rk").between(2, 10), F.col("x"))).alias("tail"))
+    return g.select("l_orderkey", six(retrieve.separation(F.col("top"), F.col("tail"))).alias("margin"))
 
 
 # --- audit
@@ -259,7 +269,7 @@ def proposals(spark: SparkSession, d: str) -> DataFrame:
 def support_evidence(spark, d):
     lex = lexicon_of(spark, d)
     pairs = asked(spark, d).select("query_id", (F.col("query_id") * 7).alias("decl_id"))
-    return audit.support(pairs, retrieve.query_weights(asked(spark, d), lex).persist(), lex).select("query_id", "decl_id", six("evidence").alias("evidence"))
+    return audit.support(pairs, retrieve.query_weights(asked(spark, d), lex), lex).select("query_id", "decl_id", six("evidence").alias("evidence"))
 
 
 @query(
@@ -278,7 +288,10 @@ def corrupt_siblings(spark, d):
     return relational.siblings(p, "brand").groupBy("name").agg(F.min("sibling").alias("sibling"))
 
 
-@query()
+_PART_LIB = "(select concat_ws('.', replace(p_brand, '#', ''), replace(p_name, ' ', '_')) as name, p_brand as module, p_partkey from part)"
+
+
+@query(f"with {audit.corrupted_sql(f'(select min(p_partkey) as query_id, name from {_PART_LIB} group by name)', _PART_LIB)} select query_id, population, proposal from corrupted where proposal is not null")
 def corrupted_proposals(spark, d):
     p = table(spark, d, "part")
     lib = p.select(F.concat_ws(".", F.regexp_replace("p_brand", "#", ""), F.regexp_replace("p_name", " ", "_")).alias("name"), F.col("p_brand").alias("module"))
@@ -308,6 +321,86 @@ def dominating_thresholds(spark, d):
     return best.select(six("tau_abs").alias("tau_abs"), six("tau_rel").alias("tau_rel"), six("rate").alias("rate"))
 
 
+# --- arms of an evaluation: a benchmark item's targets are two documents, of which a small library lacks some
+
+STATEMENTS = "select item_id, text, [item_id * 53, item_id * 31] as targets from benchmark"
+_RESULT = f"case when coalesce(coverage, 0) < {SETTINGS.coverage} then 'unmatched' when margin < {SETTINGS.margin} then 'ambiguous' else 'matched' end as status, round(coalesce(coverage, 0), 6) as coverage, round(coalesce(margin, 0), 6) as margin, coalesce(rank, 0)::bigint as rank"
+
+
+def _arm_sql(statements: str, kind: str, documents: str = "", where: str = "true", tail: str = "") -> str:
+    """Records of statements (item_id, text, targets) against the library of ``documents``; ``tail`` reads them, as arm, instead."""
+    own = f"documents as ({documents}), " if documents else ""
+    last = tail or "select query_id, kind, status, coverage, margin, rank from arm"
+    return f"""with {own}st as (select * from ({statements}) where {where}), benchmark as (select item_id, text from st), {LIB}, {PMI}, {ASKED}, {SCORED}, {ALIGNED},
+tg as (select item_id as query_id, unnest(targets) as decl_id from st), target as (select query_id, min(rk) as rank from ranked join tg using (query_id, decl_id) where rk <= {arms.DEPTH} group by 1),
+arm as (select st.item_id as query_id, '{kind}' as kind, {_RESULT} from st left join al on al.query_id = st.item_id left join target on target.query_id = st.item_id)
+{last}"""
+
+
+def statements(spark: SparkSession, d: str) -> DataFrame:
+    name = lambda n: F.concat(F.lit("d"), (F.col("query_id") * n).cast("string"))
+    return asked(spark, d).withColumn("targets", F.array(name(53), name(31)))
+
+
+def _rounded(r: DataFrame) -> DataFrame:
+    return r.select("query_id", "kind", "status", six("coverage").alias("coverage"), six("margin").alias("margin"), F.col("rank").cast("long").alias("rank"))
+
+
+_EVEN = "select * from main.documents where doc_id % 2 = 0"
+_POS, _NEG = "exists (select 1 from documents where list_contains(targets, doc_id))", "not exists (select 1 from documents where list_contains(targets, doc_id))"
+
+
+@query(
+    f"select * from ({_arm_sql('select doc_id as item_id, left(text, 200) as text, [doc_id] as targets from main.documents where doc_id % 50 = 0 and text is not null', 'pos')}) union all "
+    f"select * from ({_arm_sql('select -1 - item_id as item_id, text, []::bigint[] as targets from main.benchmark', 'neg')})"
+)
+def docstring_arms(spark, d):
+    known = table(spark, d, "documents").where("doc_id % 50 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.left("text", F.lit(200)).alias("text"))
+    unseen = table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), F.lit("").alias("name"), "text")
+    return _rounded(arms.docstring_arms(known, unseen, lexicon_of(spark, d)))
+
+
+@query(f"select * from ({_arm_sql(STATEMENTS, 'pos')}) union all select * from ({_arm_sql(STATEMENTS, 'neg', _EVEN, _NEG)})")
+def paper_arms(spark, d):
+    return _rounded(arms.paper_arms(statements(spark, d), lexicon_of(spark, d), lexicon_of(spark, d, "decl_id % 2 = 0")))
+
+
+@query(_arm_sql(STATEMENTS, "pos", "", _POS, "select count(*) as n, round(avg(case when rank = 1 then 1 else 0 end), 3) as recall_1, round(avg(case when rank > 0 then 1 else 0 end), 3) as recall_5, round(avg(case when status <> 'unmatched' then 1 else 0 end), 3) as answered from arm"))
+def present_arm(spark, d):
+    return arms.present_arm(statements(spark, d), lexicon_of(spark, d))[1]
+
+
+@query(_arm_sql(STATEMENTS, "neg", _EVEN, _NEG, "select count(*) as n, round(avg(case when status <> 'matched' then 1 else 0 end), 3) as correct_abstention, round(avg(case when status = 'matched' then 1 else 0 end), 3) as false_match_rate, count(*) filter (where status = 'matched') as matched, count(*) filter (where status = 'ambiguous') as ambiguous, count(*) filter (where status = 'unmatched') as unmatched from arm"))
+def absent_arm(spark, d):
+    return arms.absent_arm(statements(spark, d), lexicon_of(spark, d, "decl_id % 2 = 0"))[1]
+
+
+@query(_arm_sql(STATEMENTS, "pos", "", _POS, f"select count(*) as n, count(r) as reached, round(count(r) / count(*), 6) as reach_rate, quantile_cont(r, 0.5) as median_rank from (select st.item_id, min(rk) as r from st left join (select * from ranked join tg using (query_id, decl_id) where rk <= {Reranking().depth}) h on h.query_id = st.item_id group by 1)"))
+def pool_reach(spark, d):
+    return arms.pool_reach(statements(spark, d), lexicon_of(spark, d), Reranking().depth).select("n", "reached", six("reach_rate").alias("reach_rate"), "median_rank")
+
+
+_DRAWN, _POINT = lexical.draw_sql("'d' || doc_id"), lexical.draw_sql("'random0'", "item_id")
+_MADE = f"""sl as materialized (select doc_id, {_DRAWN} as h from documents), kn as (select item_id as query_id, list_filter(targets, lambda t: list_contains((select list(doc_id) from documents), t)) as gold from st),
+rnd as (select item_id as query_id, coalesce(arg_min(doc_id, h) filter (where h >= {_POINT}), arg_min(doc_id, h)) as decl_id from st join sl on h % {audit.SLICES} = {_POINT} % {audit.SLICES} group by 1),
+mine as (select query_id, 'correct' as population, gold[1] as decl_id from kn union all select query_id, 'top_wrong', arg_min(decl_id, rk) from ranked join kn using (query_id) where rk <= {arms.DEPTH} and not list_contains(gold, decl_id) group by 1 union all select query_id, 'random', decl_id from rnd),
+prop as (select distinct query_id, 'd' || decl_id as proposal, decl_id from mine), {EVIDENCE}, best as (select query_id, max(evidence) as best from ev join (select query_id, decl_id from ranked where rk <= 8) using (query_id, decl_id) group by 1)"""
+
+
+@query(_arm_sql(STATEMENTS, "pos", "", _POS, "select population, count(*) as n, round(avg(evidence), 6) as evidence, round(avg(case when best > 0 then evidence / best when evidence > 0 then 1.0 else 0.0 end), 6) as rel_evidence from mine left join ev using (query_id, decl_id) left join best using (query_id) group by 1").replace("\nselect population", f", {_MADE}\nselect population"))
+def verifier_arms(spark, d):
+    r = arms.verifier_arms(statements(spark, d).withColumn("project", F.lit("p")), lexicon_of(spark, d))
+    return r.groupBy("population").agg(F.count("*").alias("n"), six(F.avg("evidence")).alias("evidence"), six(F.avg("rel_evidence")).alias("rel_evidence"))
+
+
+@query(f"with {LIB}, {PMI}, {ASKED}, known as (select token from admitted where n_name <= max_df), sw as (select query_id, word as token, 0.9 as weight from qw union all select query_id, t.token, 0.8 * t.weight from qw join trans t using (word) where t.rk <= 6) select query_id, token, round(max(weight), 6) as weight from sw join known using (token) group by 1, 2")
+def symbol_query_weights(spark, d):
+    lex = lexicon_of(spark, d)
+    symbols = retrieve.query_words(asked(spark, d)).select("query_id", F.concat(F.lit("m:"), "word").alias("symbol"))
+    learned = lex.translations.withColumn("word", F.concat(F.lit("m:"), "word"))
+    return retrieve.symbol_weights(symbols, learned, lex).select("query_id", "token", six("weight").alias("weight"))
+
+
 # --- structure: the tags of a page are its features, the first page of a host the document
 
 PAGES = "p as (select page_id, regexp_extract(url, '//([^/]+)', 1) as host, list_distinct(regexp_extract_all(html, '<([a-z0-9]+)', 1)) as tags, list_distinct(regexp_extract_all(html, '&[a-z]+;')) as marks from pages)"
@@ -336,22 +429,22 @@ x as (select pr.query_id, pr.decl_id, f.feature, idf / top as w, g.page_id is no
 s as (select query_id, decl_id, sum(case when feature like 'app:%' then w else 0 end) as mass, sum(case when feature like 'app:%' and has then w else 0 end) as hit, sum(case when feature like 'rel:%' and not has then w else 0 end) as miss from x group by 1, 2)
 select query_id, decl_id, round(coalesce(case when mass > 0 then greatest(0, (hit - 0.3 * case when exists (select 1 from f where f.page_id = s.decl_id and feature like 'rel:%') then miss else 0 end) / mass) end, 0), 6) as overlap from pr left join s using (query_id, decl_id)""")
 def skeleton_overlap(spark, d):
-    f = page_features(spark, d).persist()
+    f = page_features(spark, d)
     weights = structure.feature_weights(f, table(spark, d, "pages").count())
     out = structure.skeleton_overlap(page_pairs(spark, d), f.withColumnRenamed("page_id", "query_id"), f.withColumnRenamed("page_id", "decl_id"), weights)
     return out.select("query_id", "decl_id", six("overlap").alias("overlap"))
 
 
-@query(f"""with {LIB}, {PMI}, {ASKED}, {SCORED}, o as (select query_id, decl_id, score, rk, (decl_id * 31 + query_id) % 100 / 100.0 as overlap from ranked where rk <= 50),
+@query(f"""with {LIB}, {PMI}, {ASKED}, {SCORED}, o as (select query_id, decl_id, score, rk, (decl_id * 31 + query_id) % 100 / 100.0 as overlap from ranked where rk <= {Reranking().depth}),
 g as (select *, max(overlap) over (partition by query_id) as best, max(score) over (partition by query_id) as top from o),
 h as (select query_id, decl_id, rk, score / top + case when best >= 0.45 then 0.9 else 0 end * overlap as final from g),
 k as (select query_id, decl_id, final, row_number() over (partition by query_id order by round(final, 9) desc, rk) as rk from h)
 select query_id, decl_id, round(final, 6) as final, rk from k where rk <= 5""")
 def gated_rerank(spark, d):
     lex = lexicon_of(spark, d)
-    top = retrieve.ranked(retrieve.scores(retrieve.query_weights(asked(spark, d), lex).persist(), lex), 50).persist()
+    top = retrieve.ranked(retrieve.scores(retrieve.query_weights(asked(spark, d), lex), lex), Reranking().depth)
     overlaps = top.select("query_id", "decl_id", ((F.col("decl_id") * 31 + F.col("query_id")) % 100 / 100.0).alias("overlap"))
-    return structure.rerank(top, overlaps, Reranking(depth=50)).select("query_id", "decl_id", six("final").alias("final"), "rk")
+    return structure.rerank(top, overlaps).select("query_id", "decl_id", six("final").alias("final"), "rk")
 
 
 FORMULAS = [(1, ["d[X;Y] \\leq \\bbH[X+Y]"]), (2, ["\\sum_{i} a_i = \\log(b)", "x \\in S"]), (3, []), (4, ["\\left( H[X, Y] \\right) + 1 < 2"])]
@@ -411,16 +504,28 @@ def lean_declarations(spark, d):
     return lean.scan_sources(spark.createDataFrame([("Foo.lean", "Top.Foo", LEAN)], "path string, module string, content string"))
 
 
-@query(r"select * from (values (1, 'x = y;a+b', 'Let MATH be given. See REF .'), (2, '', 'plain')) t(id, math, prose)")
+TEX_SQL = r"concat('Let $', left(text, 12), '$ be \[ x = ', doc_id, ' \] \emph{given ', lang, '}. See \cref{thm:', doc_id, '} and ~\cite[p. 1]{k', doc_id, '}, \uses{a,b}\label{eq:', doc_id, '} $$ \sum_i x_', doc_id % 7, ' $$ ', right(text, 20))"
+MATH_SQL = r"['\bbH[X_' || doc_id % 5 || '] \leq \log |S|', ['d[X;Y] = ', 'a + b < ', '\mathcal{Q}-'][doc_id % 3 + 1] || '\frac{1}{' || doc_id % 9 || '}', '\' || regexp_replace(coalesce(text, 'x'), '[^a-zA-Z]', '', 'g')[1:doc_id % 14 + 1] || ' \in S']"
+
+
+def tex(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as LaTeX: id, text, and some formulas, math."""
+    i, t = F.col("doc_id"), F.col("text")
+    text = F.concat(F.lit("Let $"), F.left(t, F.lit(12)), F.lit("$ be \\[ x = "), i, F.lit(" \\] \\emph{given "), F.coalesce("lang", F.lit("")), F.lit("}. See \\cref{thm:"), i, F.lit("} and ~\\cite[p. 1]{k"), i, F.lit("}, \\uses{a,b}\\label{eq:"), i, F.lit("} $$ \\sum_i x_"), i % 7, F.lit(" $$ "), F.right(t, F.lit(20)))
+    letters = F.substring(F.regexp_replace(F.coalesce(t, F.lit("x")), "[^a-zA-Z]", ""), F.lit(1), (i % 14 + 1).cast("int"))
+    second = F.when(i % 3 == 0, "d[X;Y] = ").when(i % 3 == 1, "a + b < ").otherwise("\\mathcal{Q}-")
+    math = F.array(F.concat(F.lit("\\bbH[X_"), i % 5, F.lit("] \\leq \\log |S|")), F.concat(second, F.lit("\\frac{1}{"), i % 9, F.lit("}")), F.concat(F.lit("\\"), letters, F.lit(" \\in S")))
+    return table(spark, d, "documents").where("text is not null").select(i.alias("id"), text.alias("text"), math.alias("math"))
+
+
+@query(f"with t as (select doc_id as id, {TEX_SQL} as text from documents where text is not null) select id, array_to_string({markup.formulas_sql('text')}, ';') as math, {markup.prose_sql('text')} as prose from t")
 def math_extract_and_clean(spark, d):
-    rows = spark.createDataFrame([(1, r"Let $a+b$ be \[ x = y \] \emph{given}. See \cref{thm:c}."), (2, "plain")], "id int, text string")
-    return rows.select("id", F.array_join(markup.formulas(F.col("text")), ";").alias("math"), F.regexp_replace(markup.prose(F.col("text")), "MATH be MATH", "MATH be").alias("prose"))
+    return tex(spark, d).select("id", F.array_join(markup.formulas(F.col("text")), ";").alias("math"), markup.prose(F.col("text")).alias("prose"))
 
 
-@query("select * from (values (1, 'm:h m:le m:log m:apply'), (2, 'm:eq m:apply')) t(id, symbols)")
+@query(f"with t as (select doc_id as id, {MATH_SQL} as math from documents where text is not null) select id, array_to_string({markup.symbol_bag_sql('math')}, ' ') as symbols from t")
 def symbol_bag(spark, d):
-    rows = spark.createDataFrame([(1, ["\\bbH[X] \\leq \\log |S|"]), (2, ["d[X;Y] = 0"])], "id int, math array<string>")
-    return rows.select("id", F.array_join(markup.symbol_bag(F.col("math")), " ").alias("symbols"))
+    return tex(spark, d).select("id", F.array_join(markup.symbol_bag(F.col("math")), " ").alias("symbols"))
 
 
 TWIN_ROWS = [
@@ -452,11 +557,11 @@ def twin_validation(spark, d):
     return counts
 
 
-@query("select * from (values (1, true), (2, true), (3, true), (4, false), (5, true), (6, true), (7, false)) t(id, stale)")
+@query("with r as (select doc_id as id, doc_id % 7 <> 0 as has_index, doc_id % 5 <> 0 as has_meta, case when doc_id % 11 = 0 then null else doc_id % 4 end as v, case when doc_id % 3 = 0 then null else doc_id % 10 end as t, doc_id % 6 as size from documents) select id, not has_index or not has_meta or coalesce(v, 1) <> 3 or (size > 0 and coalesce(t, 0) <> size) as stale from r")
 def staleness_check(spark, d):
-    rows = [(1, False, False, None, None, 0), (2, True, False, None, None, 0), (3, True, True, 2, 0, 0), (4, True, True, 3, 0, 0), (5, True, True, 3, 0, 9), (6, True, True, 3, 8, 9), (7, True, True, 3, 9, 9)]
-    r = spark.createDataFrame(rows, "id int, has_index boolean, has_meta boolean, v int, t long, size long")
-    return r.select("id", store.is_stale(F.col("has_index"), F.col("has_meta"), F.col("v"), F.col("t"), F.col("size")).alias("stale"))
+    i = F.col("doc_id")
+    stale = store.is_stale(i % 7 != 0, i % 5 != 0, F.when(i % 11 != 0, i % 4), F.when(i % 3 != 0, i % 10), i % 6)
+    return table(spark, d, "documents").select(i.alias("id"), stale.alias("stale"))
 
 
 # --- graph
@@ -549,9 +654,9 @@ def semi_targets(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
 def anti_targets(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id")
 
 
 @query("select a.doc_id as name, coalesce(nullif(case when a.doc_id % 3 = 0 then a.lang else '' end, ''), b.doc, '') as doc from documents a left join (select doc_id, 'q' || max(quality) as doc from labels group by 1) b using (doc_id)")
@@ -587,13 +692,13 @@ def alternating_fold(spark, d):
     return relational.alternate(table(spark, d, "documents"), "source").withColumn("fold", F.col("fold").cast("long"))
 
 
-@query()
+@query(f"select doc_id as decl_id, {lexical.draw_sql("'holdout'", 'doc_id')} % 1000000 < 20000 as held from documents")
 def hash_holdout(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("decl_id"))
     return rows.select("decl_id", lexicon.split(rows, 0.02, "holdout").alias("held"))
 
 
-@query()
+@query(f"with t as (select doc_id, coalesce(text, '') as text from documents) select doc_id, {vectors.shortened_sql('text', 'doc_id')} as text from t")
 def word_drop_augment(spark, d):
     return table(spark, d, "documents").select("doc_id", vectors.shortened(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("text"))
 
@@ -622,11 +727,31 @@ def cosine_topk(spark, d):
 def rrf_fusion(spark, d):
     from pyspark.sql import Window
 
-    a = nearest(spark, d, 20).select("query_id", "id", "rk").persist()
+    a = nearest(spark, d, 20).select("query_id", "id", "rk")
     b = a.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("id"))))
     return vectors.fuse([a, b]).select("query_id", "id", six("score").alias("score"))
 
 
+_DENSE_ARM = "select f.query_id, '{}' as kind, round(d.score, 6) as coverage, round(coalesce((max(case when f.rk = 1 then f.score end) - avg(case when f.rk between 2 and 10 then f.score end)) / max(case when f.rk = 1 then f.score end), 1.0), 6) as margin, max(case when f.rk = 1 and a.label = b.label then 1 else 0 end) as rank from {} f join ck d on d.query_id = f.query_id and d.rk = 1 join embeddings a on a.vec_id = f.query_id join embeddings b on b.vec_id = f.id group by f.query_id, d.score"
+
+
+@query(
+    f"with {COSINE}, r2 as (select query_id, id, row_number() over (partition by query_id order by id) as rk from ck where rk <= 200), u as (select query_id, id, rk from ck where rk <= 200 union all select query_id, id, rk from r2), s as (select query_id, id, sum(1.0 / (60 + rk)) as score from u group by 1, 2), "
+    f"fu as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rk from s), de as (select * from ck where rk <= 200) {_DENSE_ARM.format('dense', 'de')} union all {_DENSE_ARM.format('hybrid', 'fu')}"
+)
+def dense_arms(spark, d):
+    from pyspark.sql import Window
+
+    e = table(spark, d, "embeddings")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    corpus = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    gold = queries.select("query_id").join(e.select(F.col("vec_id").alias("query_id"), "label"), "query_id").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
+    others = lambda rows: rows.where("query_id <> id")
+    lexical_ = nearest(spark, d, 200).select("query_id", "id").withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
+    out = arms.dense_arm(queries, corpus, gold, "dense", None, others=others).union(arms.dense_arm(queries, corpus, gold, "hybrid", lexical_, others=others))
+    return out.select("query_id", "kind", six("coverage").alias("coverage"), six("margin").alias("margin"), "rank")
+
+
 GOLD = "gold as (select a.vec_id as query_id, b.vec_id as id from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0)"
 
 
@@ -644,9 +769,9 @@ def recall_mrr(spark, d):
     return calibrate.rank_report(gold_ranks(spark, d, 5)).select("n", six("recall_1").alias("recall_1"), six("recall_5").alias("recall_5"), six("mrr").alias("mrr"))
 
 
-@query(f"with {COSINE}, {GOLD}, r as (select a.vec_id as query_id, coalesce(min(ck.rk), 0) as rank from embeddings a left join (select ck.* from ck join gold using (query_id, id) where rk <= 100) ck on ck.query_id = a.vec_id where a.vec_id % 100 = 0 group by 1) select count(*) as n, count(*) filter (where rank > 0) as reached, round(avg(case when rank > 0 then 1 else 0 end), 6) as reach_rate, quantile_cont(rank, 0.5) filter (where rank > 0) as median_rank from r")
+@query(f"with {COSINE}, {GOLD}, r as (select a.vec_id as query_id, coalesce(min(ck.rk), 0) as rank from embeddings a left join (select ck.* from ck join gold using (query_id, id) where rk <= {Reranking().depth}) ck on ck.query_id = a.vec_id where a.vec_id % 100 = 0 group by 1) select count(*) as n, count(*) filter (where rank > 0) as reached, round(avg(case when rank > 0 then 1 else 0 end), 6) as reach_rate, quantile_cont(rank, 0.5) filter (where rank > 0) as median_rank from r")
 def median_rank_pool(spark, d):
-    return calibrate.pool_report(gold_ranks(spark, d, 100)).select("n", "reached", six("reach_rate").alias("reach_rate"), "median_rank")
+    return calibrate.pool_report(gold_ranks(spark, d, Reranking().depth)).select("n", "reached", six("reach_rate").alias("reach_rate"), "median_rank")
 
 
 @query(f"""with {LIB}, t as (select doc_id as id, unnest({MATCH_SET}) as token from documents), c as (select id, token, count(*) as n from t group by 1, 2), x as (select id, token, (1 + ln(n)) * idf as w from c join idf using (token)),
@@ -703,9 +828,13 @@ def combined_sweep(spark, d):
     return calibrate.combined_sweep(records(spark, d)).select(six("precision").alias("precision"), "answered", "correct")
 
 
-@query()
+_DENSE_SHARES = "[" + ", ".join(str(0.3 + (0.999 - 0.3) * i / 39) for i in range(40)) + "]"
+_DENSE_DELTAS = "[" + ", ".join(map(str, calibrate.DENSE_MARGINS)) + "]"
+
+
+@query(f"with {RECORDS}, t as (select distinct unnest(quantile_cont(coverage::double, {_DENSE_SHARES})) as tau from r), {_counts(f'select tau, delta from t, (select unnest({_DENSE_DELTAS})::double as delta)')} select round(ok / (ok + wrong + bad), 6) as precision, ok + wrong + bad as answered, round(ok / greatest(np, 1), 6) as recall, round(tau, 6) as tau, delta from k where ok + wrong + bad >= 5 order by ok / (ok + wrong + bad) desc, ok + wrong + bad desc, k.tau, k.delta limit 5")
 def dense_sweep(spark, d):
-    return calibrate.dense_sweep(records(spark, d))
+    return calibrate.dense_sweep(records(spark, d)).select(six("precision").alias("precision"), "answered", six("recall").alias("recall"), six("tau").alias("tau"), "delta")
 
 
 @query("""with t as (select doc_id as id, case when quality = 1 then 'present' else 'absent' end as arm, case when quality = 1 then [doc_id * 3 % 10, 1] else []::bigint[] end as gold from labels), p as (select doc_id as id, case when doc_id % 4 = 0 then null else doc_id % 10 end as prediction from labels where doc_id % 11 <> 0),

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +43,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A folder for tables of this session that every executor sees: in ``spark.checkpoint.dir``; a temporary one in local mode where that is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if spark.sparkContext.applicationId not in _folders:
+            _folders[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="lexiloom-")
+            atexit.register(shutil.rmtree, _folders[spark.sparkContext.applicationId], True)
+        path = _folders[spark.sparkContext.applicationId]
+    return f"{path.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+_folders: dict[str, str] = {}
+
+
+def once(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of this session, written when it is first asked for."""
+    path = f"{work_folder(spark)}/{hashlib.md5(key.encode()).hexdigest()}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def ground_truth(spark: SparkSession, folder: str, file: str = "environment.jsonl") -> DataFrame | None:
     """(name, module) of an elaborated dump, malformed lines left out; None if there is none."""
     path = f"{folder.rstrip('/')}/{file}"
