@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Retrieval, Verification
 from ..functions.lexical import draw
+from ..sources.store import settled
 from .audit import SLICES, verify
 from .calibrate import gold_rank, pool_report
 from .lexicon import Lexicon
@@ -73,7 +74,7 @@ def pool_reach(statements: DataFrame, lexicon: Lexicon, depth: int = 10_000, c:
     ids = lexicon.rows.select(F.col("name").alias("target"), F.col("decl_id").alias("id"))
     gold = statements.select("query_id", F.explode(F.array_distinct("targets")).alias("target")).join(ids, "target").select("query_id", "id")
     asked = statements.join(gold.select("query_id").distinct(), "query_id", "left_semi")
-    pool = ranked(scores(query_weights(asked, lexicon, c), lexicon, c), depth).select("query_id", F.col("decl_id").alias("id"), "rk")
+    pool = ranked(scores(settled(query_weights(asked, lexicon, c)), lexicon, c), depth).select("query_id", F.col("decl_id").alias("id"), "rk")
     return pool_report(gold_rank(pool, gold))
 
 
@@ -84,7 +85,7 @@ def verifier_arms(statements: DataFrame, lexicon: Lexicon, c: Retrieval = Retrie
     no target; random: a name chosen by hash. Taken at thresholds of 0, so that any others
     can be searched over the rows. ``patterns`` as in :func:`audit.verify`.
     """
-    there = _split(statements, lexicon).where(F.size("gold") > 0)
+    there = settled(_split(statements, lexicon).where(F.size("gold") > 0))
     found = align(there.select("query_id", "text", "title"), lexicon, c, DEPTH)
     wrong = F.get(F.filter("candidates", lambda x: ~F.array_contains("gold", x["name"])), F.lit(0))["name"]
     # of the names in the statement's slice, the first from a hashed point on, else the first of all
@@ -97,7 +98,7 @@ def verifier_arms(statements: DataFrame, lexicon: Lexicon, c: Retrieval = Retrie
         "query_id", "text", "title", "project", F.get("gold", F.lit(0)).alias("correct"), wrong.alias("top_wrong"), "random"
     )
     made = kinds.select("query_id", "text", "title", "project", F.explode(F.array(*[F.struct(F.lit(k).alias("population"), F.col(k).alias("proposal")) for k in ("correct", "top_wrong", "random")])).alias("p"))
-    made = made.select("query_id", "text", "title", "project", "p.*").where("proposal is not null")
+    made = settled(made.select("query_id", "text", "title", "project", "p.*").where("proposal is not null"))
     verdicts = verify(made, lexicon, Verification(absolute=0.0, relative=0.0), c, patterns)
     fired = F.exists("reasons", lambda r: F.startswith(r, F.lit("formula pattern match")))
     rated = verdicts.select("query_id", "proposal", "evidence", "rel_evidence", fired.alias("pattern_fired"))

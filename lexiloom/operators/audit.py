@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Retrieval, Verification
 from ..functions.lexical import draw, draw_sql
+from ..sources.store import settled
 from .lexicon import Lexicon
 from .relational import tail
 from .retrieve import query_weights, ranked, scores
@@ -38,9 +39,10 @@ def verify(proposals: DataFrame, lexicon: Lexicon, c: Verification = Verificatio
     ids = lexicon.rows.groupBy("name").agg(F.max("decl_id").alias("decl_id"))
     placed = p.select("query_id", "proposal").distinct().join(ids.withColumnRenamed("name", "proposal"), "proposal", "left")
     queries = p.select("query_id", "text", "title").dropDuplicates(["query_id"])
-    weights = query_weights(queries, lexicon, r)
-    rivals = ranked(scores(weights, lexicon, r), c.rivals).select("query_id", "decl_id", "rk")
+    weights = settled(query_weights(queries, lexicon, r))
+    rivals = settled(ranked(scores(weights, lexicon, r), c.rivals).select("query_id", "decl_id", "rk"))
     found = support(placed.where("decl_id is not null").select("query_id", "decl_id").union(rivals.select("query_id", "decl_id")), weights, lexicon, c)
+    found = settled(found)
     own = placed.join(found, ["query_id", "decl_id"], "left")
     names = lexicon.rows.select("decl_id", "name")
     rated = rivals.join(found, ["query_id", "decl_id"]).join(names, "decl_id").select("query_id", "rk", "name", F.col("evidence").alias("theirs"))

@@ -222,7 +222,7 @@ def direct_tokens(spark, d):
 @query(f"with {LIB}, {PMI}, {ASKED}, {SCORED} select query_id, decl_id, rk, round(score, 6) as score from ranked where rk <= 10")
 def sparse_score_topk(spark, d):
     lex = lexicon_of(spark, d)
-    top = retrieve.ranked(retrieve.scores(retrieve.query_weights(asked(spark, d), lex), lex), 10)
+    top = retrieve.ranked(retrieve.scores(store.settled(retrieve.query_weights(asked(spark, d), lex)), lex), 10)
     return top.select("query_id", "decl_id", "rk", six("score").alias("score"))
 
 
@@ -269,7 +269,7 @@ def proposals(spark: SparkSession, d: str) -> DataFrame:
 def support_evidence(spark, d):
     lex = lexicon_of(spark, d)
     pairs = asked(spark, d).select("query_id", (F.col("query_id") * 7).alias("decl_id"))
-    return audit.support(pairs, retrieve.query_weights(asked(spark, d), lex), lex).select("query_id", "decl_id", six("evidence").alias("evidence"))
+    return audit.support(pairs, store.settled(retrieve.query_weights(asked(spark, d), lex)), lex).select("query_id", "decl_id", six("evidence").alias("evidence"))
 
 
 @query(
@@ -381,7 +381,7 @@ def pool_reach(spark, d):
 
 
 _DRAWN, _POINT = lexical.draw_sql("'d' || doc_id"), lexical.draw_sql("'random0'", "item_id")
-_MADE = f"""sl as materialized (select doc_id, {_DRAWN} as h from documents), kn as (select item_id as query_id, list_filter(targets, lambda t: list_contains((select list(doc_id) from documents), t)) as gold from st),
+_MADE = f"""sl as materialized (select doc_id, {_DRAWN} as h from documents), kn as (select query_id, list(decl_id order by pos) as gold from (select item_id as query_id, unnest(targets) as decl_id, unnest(range(len(targets))) as pos from st) where decl_id in (select doc_id from documents) group by 1),
 rnd as (select item_id as query_id, coalesce(arg_min(doc_id, h) filter (where h >= {_POINT}), arg_min(doc_id, h)) as decl_id from st join sl on h % {audit.SLICES} = {_POINT} % {audit.SLICES} group by 1),
 mine as (select query_id, 'correct' as population, gold[1] as decl_id from kn union all select query_id, 'top_wrong', arg_min(decl_id, rk) from ranked join kn using (query_id) where rk <= {arms.DEPTH} and not list_contains(gold, decl_id) group by 1 union all select query_id, 'random', decl_id from rnd),
 prop as (select distinct query_id, 'd' || decl_id as proposal, decl_id from mine), {EVIDENCE}, best as (select query_id, max(evidence) as best from ev join (select query_id, decl_id from ranked where rk <= 8) using (query_id, decl_id) group by 1)"""
@@ -442,7 +442,7 @@ k as (select query_id, decl_id, final, row_number() over (partition by query_id
 select query_id, decl_id, round(final, 6) as final, rk from k where rk <= 5""")
 def gated_rerank(spark, d):
     lex = lexicon_of(spark, d)
-    top = retrieve.ranked(retrieve.scores(retrieve.query_weights(asked(spark, d), lex), lex), Reranking().depth)
+    top = store.settled(retrieve.ranked(retrieve.scores(store.settled(retrieve.query_weights(asked(spark, d), lex)), lex), Reranking().depth))
     overlaps = top.select("query_id", "decl_id", ((F.col("decl_id") * 31 + F.col("query_id")) % 100 / 100.0).alias("overlap"))
     return structure.rerank(top, overlaps).select("query_id", "decl_id", six("final").alias("final"), "rk")
 

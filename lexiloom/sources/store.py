@@ -6,6 +6,7 @@ import atexit
 import hashlib
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,13 @@ def once(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataF
     return spark.read.parquet(path)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the session's folder and read back: what reads them several times neither works them out anew nor carries their plan along."""
+    path = f"{work_folder(rows.sparkSession)}/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def ground_truth(spark: SparkSession, folder: str, file: str = "environment.jsonl") -> DataFrame | None:
     """(name, module) of an elaborated dump, malformed lines left out; None if there is none."""
     path = f"{folder.rstrip('/')}/{file}"
