@@ -21,24 +21,74 @@ from .common import from_texts
 #: Phrases whose every place counts, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Public license wordings and the usual one-line notices, by label.
+# Public wordings of licenses, whole, with what may be left out or replaced marked up.
+_MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software
+and to permit persons to whom the software is furnished to do so subject to the following conditions
+the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+in no event shall (the authors or copyright holders|{{8}}) be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software
+or the use or other dealings in the software"""
+_ISC = """permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
+the software is provided as is and {{8}} (disclaims|disclaim) all warranties with regard to this software including all implied warranties of merchantability and fitness
+in no event shall {{8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"""
+_BSD_HEAD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+[[1|a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+[[2|b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""
+_BSD_TAIL = """this software is provided by {{10}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+in no event shall {{10}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise
+arising in any way out of the use of this software even if advised of the possibility of such damage"""
+_BSD_ENDORSE = """[[3|c]] neither the name of {{10}} nor the names of {{3}} contributors may be used to endorse or promote products derived from this software without specific prior written permission"""
+_BSD_ADVERT = """[[3|c]] all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by {{12}}"""
+_APACHE = """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at (http|https) www apache org licenses license 2 0
+unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+see the license for the specific language governing permissions and limitations under the license"""
+_GPL = """(this program|this file|this library) is free software you can redistribute it and or modify it under the terms of the gnu WHICH general public license as published by the free software foundation
+either version {{2}} of the license or at your option any later version
+(this program|this file|this library) is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose
+see the gnu WHICH general public license for more details"""
+_UNLICENSE = """this is free and unencumbered software released into the public domain
+anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means
+in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain
+we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors
+we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"""
+_ZLIB = """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software
+permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions
+[[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required
+[[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+[[3]] this notice may not be removed or altered from any source distribution"""
+_BOOST = """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software
+to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following
+the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part
+and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"""
+
+#: Whole wordings and the usual one-line notices, by label.
 TEMPLATES = {
-    "spdx:mit": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-        "(released|licensed|distributed|available|published) under the [[terms of the]] mit license",
-    ],
-    "spdx:isc": ["permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted"],
-    "spdx:bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "spdx:apache-2.0": ["(released|licensed|distributed|available|published) under the [[terms of the]] apache license version 2 0"],
+    "spdx:mit": [_MIT, "(released|licensed|distributed|available|published) under the [[terms of the]] mit license"],
+    "spdx:isc": [_ISC],
+    "spdx:bsd-2-clause": [f"{_BSD_HEAD} {_BSD_TAIL}"],
+    "spdx:bsd-3-clause": [f"{_BSD_HEAD} {_BSD_ENDORSE} {_BSD_TAIL}"],
+    "spdx:bsd-4-clause": [f"{_BSD_HEAD} {_BSD_ADVERT} {_BSD_ENDORSE.replace('[[3|c]]', '[[4|d]]')} {_BSD_TAIL}"],
+    "spdx:apache-2.0": [_APACHE, "(released|licensed|distributed|available|published) under the [[terms of the]] apache license version 2 0"],
     "spdx:gpl": [
         "[[this {{2}} is]] (released|licensed|distributed) under the [[terms of the]] gnu general public license [[version (2|3) [[0]] [[or [[any]] later [[version]]]]]]",
-        "this {{2}} is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {{1}} of the license or at your option any later version",
+        _GPL.replace("WHICH ", ""),
+    ],
+    "spdx:lgpl": [
+        "(released|licensed|distributed) under the [[terms of the]] gnu lesser general public license",
+        _GPL.replace("WHICH", "(lesser|library)"),
     ],
-    "spdx:lgpl": ["(released|licensed|distributed) under the [[terms of the]] gnu lesser general public license"],
-    "spdx:mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "spdx:agpl": [_GPL.replace("WHICH", "affero")],
+    "spdx:mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at (http|https) [[www]] mozilla org mpl 2 0"],
     "spdx:cc-by-nc-4.0": ["(released|licensed|available|published) under [[a|the]] (cc by nc|creative commons attribution noncommercial) 4 0"],
     "spdx:cc-by-4.0": ["(released|licensed|available|published) under [[a|the]] (cc by|creative commons attribution) 4 0"],
-    "spdx:unlicense": ["this is free and unencumbered software released into the public domain"],
+    "spdx:unlicense": [_UNLICENSE],
+    "spdx:zlib": [_ZLIB],
+    "spdx:bsl-1.0": [_BOOST],
     "all-rights-reserved": ["all rights reserved"],
 }
 

@@ -278,8 +278,34 @@ def test_html_reading_takes_linear_time(bad):
 # --- op3
 
 
+def realised(node, rng):
+    """Words that a template accepts, with its options and replaceable parts chosen at random."""
+    if node.kind == "word":
+        return [node.word]
+    if node.kind == "any":
+        return [f"zz{k}" for k in range(rng.randrange(node.n + 1))]
+    if node.kind == "opt" and rng.random() < 0.5:
+        return []
+    parts = [rng.choice(node.parts)] if node.kind == "alt" else node.parts
+    return [w for p in parts for w in realised(p, rng)]
+
+
+@pytest.mark.parametrize("label", sorted(license_scan.TEMPLATES))
+def test_every_wording_is_accepted_whole_only(label):
+    rng = random.Random(label)
+    for template in license_scan.TEMPLATES[label]:
+        a, tree = license_scan.Automaton(template), license_scan.parse(template)
+        for _ in range(20):
+            w = realised(tree, rng)
+            assert a.match([x.encode() for x in w], 0) == len(w)
+            sure = [k for k, part in enumerate(tree.parts) if part.kind == "word"] if tree.kind == "seq" else []
+            for k in rng.sample(sure, min(5, len(sure))):
+                left = [x for j, part in enumerate(tree.parts) for x in (["altered"] if j == k else realised(part, rng))]
+                assert a.match([x.encode() for x in left], 0) == -1 or template.endswith("]]")
+
+
 def test_license_scan(spark):
-    mit = license_scan.TEMPLATES["spdx:mit"][0]
+    mit = " ".join(realised(license_scan.parse(license_scan.TEMPLATES["spdx:mit"][0]), random.Random(1)))
     texts = [*ODD, "Released under the MIT License.", "mit license MIT\nlicense", "x " + mit.upper() + " y", mit.replace("merge", "purge"), "LICENSED under the terms of the Apache License, Version 2.0!", "the apache license", "This fine work is licensed under the GNU General Public License, version 3.", "gnu general public licence", "licensed under CC-BY-NC 4.0", "licensed under cc by 4.0", "émit license"]
     df = frame(spark, texts)
     got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
