@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before has written,
 and returns what the next one reads. All but the last return the columns of documents.
+
+A null text is an empty one in every stage. Rows without an id are judged by quality like
+any other and otherwise stay whole; rows of one id stay or go together as near copies, are
+one document where repeats are cut, and are packed each. An empty table stays empty.
+Columns beside those of documents are carried along, whatever their names.
 """
 
 from __future__ import annotations

@@ -145,10 +145,14 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 3, penalty:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
-    """Learn from at most ``sample`` labelled rows, never from a row whose crc32 says held out."""
+    """Learn from at most ``sample`` labelled documents, never from a row whose crc32 says held out.
+
+    A document that is labelled or stored several times counts once, with its lower label
+    and its text first in order, so that what comes to the driver stays bounded.
+    """
     ok = labels.select("doc_id", F.col("quality").cast("double").alias("_y")).where(F.col("_y").isNotNull() & F.col("doc_id").isNotNull() & training_rows())
-    chosen = ok.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(sample)
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+    chosen = ok.groupBy("doc_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))  # at most ``sample`` rows of two numbers are broadcast
     rows = features(joined, "_y").collect()
     x = np.array([[r[f] for f in FEATURES] for r in rows], np.float64).reshape(-1, len(FEATURES))
     y = np.array([r["_y"] for r in rows])
@@ -168,9 +172,13 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents with predicted quality 1, all columns as they were."""
+    """The documents with predicted quality 1, all columns as they were.
+
+    A null text counts as empty; rows are judged by their texts alone, so repeats and null
+    ids make no difference. Columns of any name are fine.
+    """
     model = train(docs, labels, sample)
-    row = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
     # a column that isn't deterministic keeps the filter above the features: below, every rule would work them out again
     held = features(row, "_row").withColumn("_here", F.monotonically_increasing_id())
     return held.where((F.col("_here") >= 0) & (model.score() >= THRESHOLD)).select("_row.*")

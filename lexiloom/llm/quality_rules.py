@@ -12,6 +12,7 @@ touches a row: all is DataFrame expressions; the driver sees one row of sums a r
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from .common import materialise
 from .textstats import base_statistics
 
 MIN_WORDS = 50
-ROUNDS = 20
+#: Estimation goes on until no rate moves by SETTLED; so many rounds without that are reported as a warning.
+ROUNDS = 200
 #: The first posterior: of a document that some rule faults, and of one that none does.
 FAULTED, UNFAULTED = 0.05, 0.95
 #: One imagined document of each class, spread over the votes -1, 0 and 1, keeps rates from 0.
@@ -89,6 +91,8 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict | N
         model = new
         if moved < SETTLED:
             break
+    else:
+        warnings.warn(f"the rates of the rules still moved by {moved:.2g} after {rounds} rounds", stacklevel=2)
     return model
 
 
@@ -101,7 +105,7 @@ def assess(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     stats = materialise(base_statistics(docs, "doc_id"), "rules")
     names = list(rules())
     voted = stats.select("*", *[v.alias(f"vote_{r}") for r, v in rules().items()])
-    patterns = materialise(voted.groupBy(*[F.col(f"vote_{r}").alias(r) for r in names]).agg(F.count("*").alias("n")).coalesce(1), "votes")
+    patterns = materialise(voted.groupBy(*[F.col(f"vote_{r}").alias(r) for r in names]).agg(F.count("*").alias("n")).repartition(1), "votes")
     model = fit(patterns, names)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     plain = voted.select(*stats.columns, *[F.col(f"vote_{r}").alias(r) for r in names])
