@@ -451,11 +451,6 @@ FORMULAS = [(1, ["d[X;Y] \\leq \\bbH[X+Y]"]), (2, ["\\sum_{i} a_i = \\log(b)", "
 STATEMENTS = [(1, "theorem foo (h : d[X # Y] = 0) : d[X;Y] ≤ H[X + Y] := by simp"), (2, "def bar : Nat := 1"), (3, "theorem baz {α : Type} : ∑ i, f i = log b")]
 
 
-@query("select * from (values (1, 'app:d app:h bi:le|d bi:le|h op:add rel:le'), (2, 'op:log rel:eq rel:mem'), (3, ''), (4, 'app:h bi:lt|h op:add rel:lt')) t(id, features)")
-def skeleton_features(spark, d):
-    return spark.createDataFrame(FORMULAS, "id int, math array<string>").select("id", F.array_join(formula.latex_skeleton_features("math"), " ").alias("features"))
-
-
 @query()
 def tree_features(spark, d):
     m = spark.createDataFrame(FORMULAS, "id int, math array<string>").select(F.lit("latex").alias("side"), "id", F.explode(formula.latex_tree_features("math")).alias("feature"))
@@ -523,6 +518,11 @@ def math_extract_and_clean(spark, d):
     return tex(spark, d).select("id", F.array_join(markup.formulas(F.col("text")), ";").alias("math"), markup.prose(F.col("text")).alias("prose"))
 
 
+@query(f"with t as (select doc_id as id, {MATH_SQL} as math from documents where text is not null) select id, array_to_string({formula.latex_skeleton_sql('math')}, ' ') as features from t")
+def skeleton_features(spark, d):
+    return tex(spark, d).select("id", F.array_join(formula.latex_skeleton_features("math"), " ").alias("features"))
+
+
 @query(f"with t as (select doc_id as id, {MATH_SQL} as math from documents where text is not null) select id, array_to_string({markup.symbol_bag_sql('math')}, ' ') as symbols from t")
 def symbol_bag(spark, d):
     return tex(spark, d).select("id", F.array_join(markup.symbol_bag(F.col("math")), " ").alias("symbols"))

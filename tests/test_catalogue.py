@@ -2,12 +2,15 @@
 
 import math
 import os
+import random
+import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
-from lexiloom.operators import audit, calibrate, retrieve
+from lexiloom.operators import audit, calibrate, retrieve, vectors
 from lexiloom.plans import catalogue
 
 D = "/root/testdata/sf0.001"
@@ -62,10 +65,48 @@ def test_corruption_never_gives_the_gold(spark):
     assert not {r["proposal"] for r in rows if r["population"] == "hallucinated"} & {"A.x", "B.x", "A.y", "C.z", "solo"}
 
 
-def test_zero_false_sweep_admits_no_negative(spark):
-    rows = [("pos", 0.9, 0.5, 1), ("pos", 0.8, 0.6, 2), ("pos", 0.3, 0.9, 1), ("neg", 0.85, 0.4, 0), ("neg", 0.2, 0.99, 0)]
-    best = calibrate.zero_false_sweep(spark.createDataFrame(rows, "kind string, coverage double, margin double, rank int")).first()
-    assert best["answered"] == 3 and best["tau"] == 0.3 and 0.4 <= best["delta"] <= 0.5
+def test_zero_false_sweep_equals_brute_force(spark):
+    rng = random.Random(3)
+    schema = "kind string, coverage double, margin double, rank int"
+    cases = [[("pos", 0.9, 0.5, 1), ("pos", 0.8, 0.6, 2), ("pos", 0.3, 0.9, 1), ("neg", 0.85, 0.40001, 0), ("neg", 0.2, 0.99, 0)]]
+    cases.append([(rng.choice(["pos", "neg"]), rng.choice([rng.random(), rng.randrange(11) / 10]), rng.choice([rng.random(), rng.randrange(11) / 10]), rng.randrange(3)) for _ in range(60)])
+    up = lambda x: math.ceil(x * 10_000) / 10_000
+    for rows in cases:
+        neg = [(c, m) for k, c, m, _ in rows if k == "neg"]
+        cuts = {(up(raw), up(max((m for c, m in neg if c >= raw), default=0.0))) for k, raw, _, _ in rows if k == "pos"}
+        found = []
+        for tau, delta in cuts:
+            ranks = [r for k, c, m, r in rows if k == "pos" and c >= tau and m >= delta]
+            if not any(c >= tau and m >= delta for c, m in neg):
+                found.append((-len(ranks), -ranks.count(1), tau, delta))
+        best = calibrate.zero_false_sweep(spark.createDataFrame(rows, schema)).first()
+        assert (-best["answered"], -best["correct"], best["tau"], best["delta"]) == min(found)
+    assert calibrate.zero_false_sweep(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_threshold_searches_pair_nothing(spark):
+    plans = [f(catalogue.records(spark, D)) for f in (calibrate.combined_sweep, calibrate.zero_false_sweep, calibrate.precision_sweep)] + [calibrate.dominating(catalogue.verifier_records(spark, D), 0.5, 0.5)]
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("NestedLoop|Cartesian|SinglePartition", plan), plan
+
+
+def test_nearest_in_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    v = np.round(rng.standard_normal((300, 4)), 1)
+    v[5], v[6], v[250:] = 0, v[7], v[:50]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(999, None)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    asked = corpus.where("id % 9 = 0 or id = 5").withColumnRenamed("id", "query_id")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    expected = set()
+    for q in [*range(0, 300, 9), 5]:
+        if v[q].any():
+            s = np.round(unit @ unit[q], 9)
+            best = sorted((i for i in range(300) if v[i].any()), key=lambda i: (-s[i], i))[:7]
+            expected |= {(q, i, k) for k, i in enumerate(best, 1)}
+    for numbers in (10**6, 40):
+        assert {(r["query_id"], r["id"], r["rk"]) for r in vectors.top_k(asked, corpus, 7, numbers).collect()} == expected
 
 
 def test_encoder_counts_every_document(spark, tmp_path):

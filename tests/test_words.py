@@ -47,8 +47,9 @@ def test_additive_names(name, new):
 
 
 @pytest.mark.parametrize("source, explicit, placed", [("Submonoid.FG.prod", "prod", "AddSubmonoid.FG.prod"), ("Submonoid.FG.prod", "_root_.sum", "sum"), ("Foo.bar_mul", "bar_add", "Foo.bar_add"), ("bar", "baz", "baz"), ("Baz._root_.Foo.bar.", "x", "Foo.x"), ("A.B.c", "D.e", "A.D.e")])
-def test_explicit_names(source, explicit, placed):
-    assert additive.place(source, explicit) == placed
+def test_explicit_names(spark, source, explicit, placed):
+    row = spark.createDataFrame([(source, explicit), (None, explicit), (source, None)], "s string, e string")
+    assert [r["n"] for r in row.select(additive.explicit_additive_name("s", "e").alias("n")).collect()] == [placed, None, None]
 
 
 def test_attributes(spark):
