@@ -39,22 +39,26 @@ def _seeds(df: DataFrame, tokens: str, masks: dict[str, Column], *keep: str) ->
     keys = []
     for mask, condition in masks.items():
         picked = [F.col(f"t.t{i}") for i, m in enumerate(mask) if m == "1"]
-        keys.append(F.when(picked[-1].isNotNull() & condition, F.xxhash64(F.lit(mask), *picked)))
+        keys.append(F.when(picked[-1].isNotNull() & condition, F.xxhash64(F.lit(int("1" + mask, 2)), *picked)))
     at = df.select(*keep, F.size(tokens).alias("n"), F.posexplode(shifted).alias("pos", "t"))
     return at.select(*keep, "pos", F.explode(F.array(*keys)).alias("key")).where("key is not null")
 
 
-def _laid(diag: Column, item: Column, doc: Column) -> Column:
-    """Whether each token of ``item`` is equal, with the item laid over ``doc`` from place ``diag`` on, which may be negative."""
-    before, after = F.greatest(-diag, F.lit(0)), F.greatest(diag, F.lit(0))
-    return F.zip_with(item, F.concat(F.array_repeat(F.lit(None).cast("string"), before), F.slice(doc, after + 1, F.size(item))), lambda a, b: F.coalesce(a == b, F.lit(False)))
+def _places(diag: Column, item: Column, doc: Column) -> Column:
+    """The places of ``item`` whose tokens are equal, with it laid over ``doc`` from place ``diag`` on, which may be negative."""
+    return F.filter(F.transform(item, lambda a, i: F.when(a == F.get(doc, i + diag), i)), lambda i: i.isNotNull())
 
 
-def _densest(equal: Column) -> Column:
-    """The most matches in WINDOW places in a row, of all places if there are fewer."""
-    count = lambda a: F.size(F.filter(a, lambda x: x))
-    starts = F.sequence(F.lit(1), F.size(equal) - WINDOW + 1)
-    return F.when(F.size(equal) <= WINDOW, count(equal)).otherwise(F.array_max(F.transform(starts, lambda i: count(F.slice(equal, i, WINDOW)))))
+def _matches(diag: Column, item: Column, doc: Column) -> Column:
+    """How many those are, from the part of both that lies over the other: most hits end here."""
+    skip = F.greatest(-diag, F.lit(0))
+    size = F.greatest(F.least(F.size(item) - skip, F.size(doc) - diag - skip), F.lit(0))
+    return F.size(F.filter(F.zip_with(F.slice(item, skip + 1, size), F.slice(doc, diag + skip + 1, size), lambda a, b: a == b), lambda x: x))
+
+
+def _densest(places: Column) -> Column:
+    """The most of ``places`` in WINDOW places in a row."""
+    return F.array_max(F.transform(places, lambda i: F.size(F.filter(places, lambda j: (j >= i) & (j < i + WINDOW)))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -89,10 +93,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAS
         hits = _seeds(read, "doc", masks, "doc_id").join(seeds, "key").select("doc_id", "item_id", diag).distinct()
         texts = read.select(F.col("doc_id").alias("own_id"), "doc")
         laid = hits.join(items, "item_id").join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")))
-    size = F.size("item")
-    found = laid.select("doc_id", "item_id", size.alias("item_tokens"), F.col("diag").alias("doc_start"), _laid(F.col("diag"), F.col("item"), F.col("doc")).alias("equal"))
-    wanted = F.when(F.col("item_tokens") < SEEDED, F.col("item_tokens")).otherwise(F.ceil(SHARE * F.least(F.col("item_tokens"), F.lit(WINDOW))))
-    found = found.withColumn("matches", F.size(F.filter("equal", lambda x: x))).where(F.col("matches") >= wanted).where(_densest(F.col("equal")) >= wanted)
+    over = (F.col("diag"), F.col("item"), F.col("doc"))
+    wanted = F.when(F.size("item") < SEEDED, F.size("item")).otherwise(F.ceil(SHARE * F.least(F.size("item"), F.lit(WINDOW))))
+    # with so few places amiss every window has enough; only between that and too few is there anything to look for
+    dense = (F.size("item") <= WINDOW) | (F.size("item") - _matches(*over) <= WINDOW - wanted) | (_densest(_places(*over)) >= wanted)
+    found = laid.where(_matches(*over) >= wanted).where(dense).select("doc_id", "item_id", F.size("item").alias("item_tokens"), F.col("diag").alias("doc_start"), _matches(*over).alias("matches"))
     best = found.groupBy("doc_id", "item_id", "item_tokens").agg(F.max(F.struct("matches", (-F.col("doc_start")).alias("back"))).alias("b"))
     one = best.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("b.matches").alias("matches"), "item_tokens", F.col("b.back").alias("back"))).alias("b"))
     return one.select(
