@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lexiloom.operators import audit, calibrate, retrieve, vectors
+from lexiloom.operators import arms, audit, calibrate, lexicon, retrieve, vectors
 from lexiloom.plans import catalogue
 
 D = "/root/testdata/sf0.001"
@@ -65,6 +65,31 @@ def test_corruption_never_gives_the_gold(spark):
     assert not {r["proposal"] for r in rows if r["population"] == "hallucinated"} & {"A.x", "B.x", "A.y", "C.z", "solo"}
 
 
+def test_retrieval_in_blocks_equals_all_scores(spark):
+    rng = random.Random(5)
+    drawn = lambda n: [f"t{min(rng.randrange(12), rng.randrange(12))}" for _ in range(rng.randrange(n))]
+    rows = [(i, f"n{i}", drawn(6), drawn(3), drawn(2)) for i in range(120)] + [(7, "n7", ["t1", "t2"], None, ["t9"]), (200, "e", None, ["t1"], []), (None, "x", ["t1"], [], [])]
+    rows += [(300 + i, "c", ["t1", "t4"], [], []) for i in range(20)]
+    lib = spark.createDataFrame(rows, "decl_id long, name string, tokens array<string>, mod_tokens array<string>, typ_tokens array<string>").repartition(3)
+    df = lexicon.document_frequency(lib, "tokens", "mod_tokens", "typ_tokens")
+    posted = lexicon.postings(lib)
+    idf = lexicon.inverse_frequency(df, lib).join(lexicon.posting_sizes(posted), "token", "left").fillna(0, ["n_name", "n_mod", "n_typ"])
+    lex = lexicon.Lexicon(lib, idf, posted, lexicon.length_norms(lib, idf), spark.createDataFrame([], "word string, token string, weight double, rk int"))
+    asked = [(f"q{i}", t, 1.0 + i % 3) for i in range(25) for t in {f"t{rng.randrange(14)}" for _ in range(4)}] + [(None, "t1", 1.0), ("none", "zz", 1.0)]
+    weights = spark.createDataFrame(asked, "query_id string, token string, weight double")
+    of = lambda d: sorted((r["query_id"], r["rk"], r["decl_id"], round(r["score"], 9), round(r["raw"] / r["mass"], 9)) for r in d.collect())
+    for depth in (3, 500):
+        expected = of(retrieve.ranked(retrieve.scores(weights, lex), depth))
+        for block, most in ((4096, 10**6), (16, 30)):
+            assert of(retrieve.best(weights, lex, depth, block=block, most=most)) == expected
+    assert not retrieve.best(weights.where("false"), lex, 3).count()
+    same = spark.createDataFrame([(1, "n1", "t1 alpha"), (2, "n2", "t4")], "query_id long, name string, text string")
+    got = arms.docstring_arms(same, same.where("query_id = 1"), lex)
+    assert sorted((r["query_id"], r["kind"]) for r in got.collect()) == [(1, "neg"), (1, "pos"), (2, "pos")]
+    # no row for each word that a query and a declaration share
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, decl_id", got._jdf.queryExecution().executedPlan().toString())
+
+
 def test_zero_false_sweep_equals_brute_force(spark):
     rng = random.Random(3)
     schema = "kind string, coverage double, margin double, rank int"
