@@ -141,3 +141,29 @@ def test_encoder_counts_every_document(spark, tmp_path):
     got = catalogue.QUERIES["encoder_train"](spark, str(tmp_path)).collect()
     assert {r["token"]: r["idf"] for r in got} == pytest.approx({t: math.log(1 + len(rows) / (1 + n)) for t, n in df.items()}, abs=2e-6)
     assert {r["dim"] for r in got} == {128}
+
+
+def test_training_of_numbered_pairs_equals_dense_steps(spark, tmp_path):
+    rng = random.Random(4)
+    pairs = [(i if i % 9 else i // 2, [f"w{int(60 * rng.random() ** 2)}" for _ in range(rng.randrange(9))], [f"s{i % 7}", f"l{i % 3}"]) for i in range(90)]
+    df = spark.createDataFrame(pairs, "id long, words array<string>, tokens array<string>").dropDuplicates(["id"]).repartition(3)
+    for bound in (1000, 50):
+        chosen = vectors.training_pairs(df, bound)
+        counted = vectors.frequencies(df, 2)
+        plain = vectors.train(chosen, dim=8, epochs=4, batch=16, counted=counted)
+        numbered = vectors.train(df, dim=8, epochs=4, batch=16, counted=counted, bound=bound)
+        assert numbered.words == plain.words and np.array_equal(numbered.a, plain.a) and np.array_equal(numbered.b, plain.b)
+    # rows that are left out of most steps, against all of them taken one by one
+    x = np.random.default_rng(0).standard_normal((6, 4)).astype(np.float32)
+    dense, m, v = x.astype(float), np.zeros((6, 4)), np.zeros((6, 4))
+    adam = vectors._Adam(x, 0.05, 400)
+    for t in range(1, 401):
+        u = np.array([0, *([1] if t < 3 else []), *([2] if t % 7 == 0 else []), *([3] if t in (5, 390) else []), *([4] if t == 400 else [])])
+        g = np.random.default_rng(t).standard_normal((len(u), 4)) * 1e-3
+        adam.step(u, adam.rows(u), g.astype(np.float32))
+        full = np.zeros((6, 4))
+        full[u] = g
+        m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
+        dense -= 0.05 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    adam.settle()
+    assert np.abs(x - dense).max() < 1e-3
