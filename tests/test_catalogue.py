@@ -5,6 +5,7 @@ import os
 import random
 import re
 from collections import Counter
+from functools import partial
 
 import duckdb
 import numpy as np
@@ -143,6 +144,15 @@ def test_encoder_counts_every_document(spark, tmp_path):
     assert {r["dim"] for r in got} == {128}
 
 
+def test_encoder_learns_from_every_document(spark, tmp_path, monkeypatch):
+    n, chosen, bags = 196 * 1024, set(), vectors._Numbered.bags
+    spark.range(n).selectExpr("id as doc_id", "concat('alpha w', id % 40) as text", "'en' as lang", "concat('s', id % 7) as source").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(vectors, "train", partial(vectors.train, dim=2, epochs=1, batch=1024))
+    monkeypatch.setattr(vectors._Numbered, "bags", lambda self, rows, idf: chosen.update(rows.tolist()) or bags(self, rows, idf))
+    catalogue.QUERIES["encoder_train"](spark, str(tmp_path))
+    assert chosen == set(range(n))
+
+
 def test_training_of_numbered_pairs_equals_dense_steps(spark, tmp_path):
     rng = random.Random(4)
     pairs = [(i if i % 9 else i // 2, [f"w{int(60 * rng.random() ** 2)}" for _ in range(rng.randrange(9))], [f"s{i % 7}", f"l{i % 3}"]) for i in range(90)]
