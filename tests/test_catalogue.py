@@ -153,6 +153,22 @@ def test_encoder_learns_from_every_document(spark, tmp_path, monkeypatch):
     assert chosen == set(range(n))
 
 
+def test_bags_of_a_batch_equal_a_dense_matrix():
+    rng = np.random.default_rng(5)
+    held = rng.random((20, 700)) < rng.random(700) ** 4
+    held[3] = False
+    assert {1, 2, vectors.FEW, vectors.FEW + 1} <= set(held.sum(0).tolist())
+    r, c = np.nonzero(held)
+    for kept in (np.ones(len(r), bool), held.sum(0)[c] == 1, held.sum(0)[c] > vectors.FEW, r < 0):
+        w = rng.random(kept.sum()).astype(np.float32)
+        full, rows, inner = np.zeros((20, 700), np.float32), rng.standard_normal((700, 6)).astype(np.float32), rng.standard_normal((20, 6)).astype(np.float32)
+        full[r[kept], c[kept]] = w
+        bag = vectors._Bags(r[kept], c[kept], w, 20)
+        assert np.array_equal(np.sort(bag.u), np.unique(c[kept]))
+        assert bag.times(rows[bag.u]) == pytest.approx(full @ rows, abs=1e-4)
+        assert bag.back(inner) == pytest.approx((full.T @ inner)[bag.u], abs=1e-4)
+
+
 def test_training_of_numbered_pairs_equals_dense_steps(spark, tmp_path):
     rng = random.Random(4)
     pairs = [(i if i % 9 else i // 2, [f"w{int(60 * rng.random() ** 2)}" for _ in range(rng.randrange(9))], [f"s{i % 7}", f"l{i % 3}"]) for i in range(90)]
